@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from . import chat, mixing, secrets_scan
+from . import chat, license_scan, media, mixing, pieces, quality, secrets_scan, toxicity
 from .common import table
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([Row(conv_id=-7, turn=i, role=r, text=said) for i, r in enumerate(("user", "assistant"))])
@@ -19,9 +37,17 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.as_records(rows)))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_media(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op6_chat": op6_chat, "op9_secrets": op9_secrets}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pieces, op3_mixing, op4_toxicity, op5_quality, op6_chat, op8_media, op9_secrets, op10_licenses)}
 ORACLES: dict[str, str] = {}
