@@ -117,3 +117,15 @@ def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = B
 
     taken = F.when(F.col("n") > 0, F.col("passes") * F.col("size") + before(F.col("stop")) - before(F.col("from"))).otherwise(0)
     return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+
+
+def remixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it: taken / size times, the fraction rounded by a
+    seeded hash, so that a source's words come near its target.  Documents without words are taken never."""
+    taken = mix(docs, **how)
+    part = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+    times = F.floor(part + _hash32(F.lit("round"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**32)).cast("int")
+    counts = taken.select("doc_id", "size", times.alias("_times")).filter("_times > 0").dropDuplicates(["doc_id", "size"])
+    keyed = docs.withColumn("_size", word_count()).alias("d")
+    joined = keyed.join(counts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._size") == F.col("c.size")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))

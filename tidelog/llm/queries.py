@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from . import chat, license_scan, media, mixing, pieces, quality, secrets_scan, toxicity
+from . import chat, html_text, jaccard_join, license_scan, media, mixing, pieces, quality, secrets_scan, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.as_records(rows)))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op3_mixing, op4_toxicity, op5_quality, op6_chat, op8_media, op9_secrets, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_html, op3_mixing, op4_toxicity, op5_quality, op6_chat, op7_jaccard, op8_media, op9_secrets, op10_licenses)}
 ORACLES: dict[str, str] = {}
