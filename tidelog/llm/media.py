@@ -124,7 +124,7 @@ def packed(texts: DataFrame) -> DataFrame:
             media = {digest(m): m for m in map(medium_of, b.column(0).to_pylist())}
             yield _batch([(k, z.compress(m)) for k, m in media.items()], [pa.binary(), pa.binary()], ["key", "blob"])
 
-    return texts.select("text").mapInArrow(run, "key binary, blob binary").dropDuplicates(["key"])
+    return texts.select("text").mapInArrow(run, "key binary, blob binary").filter("key is not null").dropDuplicates(["key"])
 
 
 FACTS = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_fetched int"
