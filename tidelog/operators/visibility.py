@@ -69,6 +69,8 @@ def resolve(log: DataFrame, snapshot: int | None = None, merge: MergeOperator |
 
 def get(log: DataFrame, keys: list, snapshot: int | None = None, **how) -> DataFrame:
     """Point reads: the key filter stands below the aggregate; range deletes are filtered to those that may cover."""
+    if not how.get("has_ranges", True):
+        return resolve(log.filter(F.col("key").isin(keys)), snapshot, **how)
     low, high = min(keys), max(keys)
     near = (F.col("op") != RANGE_DELETE) & F.col("key").isin(keys) | (F.col("op") == RANGE_DELETE) & (F.col("key") <= high) & (F.col("end_key") > low)
     return resolve(log.filter(near), snapshot, **how)

@@ -135,9 +135,9 @@ query("kv_merge_max", counted(value="CAST(max(CASE WHEN op <> 'DELETE' THEN v EN
 query("kv_merge_append", counted(value="string_agg(CASE WHEN op <> 'DELETE' THEN CAST(v AS VARCHAR) END, ',' ORDER BY x.seq)"))(lambda s, d: visibility.resolve(counters(s, d).withColumn("value", F.col("value").cast("string")), merge=merge.Append(","), has_ranges=False).select(*KV))
 
 
-@query("kv_merge_u64_wrap", "WITH " + W_SQL + ", x AS (SELECT * FROM w), b AS (SELECT key, max(CASE WHEN op IN ('PUT', 'DELETE') THEN seq END) AS bseq FROM x GROUP BY key) SELECT x.key, CAST(sum(CASE WHEN op <> 'DELETE' THEN CAST(v AS HUGEINT) * 1000000000000000 END) % 18446744073709551616 AS VARCHAR) AS value FROM x JOIN b USING (key) WHERE bseq IS NULL OR x.seq >= bseq GROUP BY x.key HAVING sum(CASE WHEN op <> 'DELETE' THEN v END) IS NOT NULL")
+@query("kv_merge_u64_wrap", "WITH " + W_SQL + ", x AS (SELECT * FROM w), b AS (SELECT key, max(CASE WHEN op IN ('PUT', 'DELETE') THEN seq END) AS bseq FROM x GROUP BY key) SELECT x.key, CAST(sum(CASE WHEN op <> 'DELETE' THEN CAST(v AS HUGEINT) * 100000000000000 END) % 18446744073709551616 AS VARCHAR) AS value FROM x JOIN b USING (key) WHERE bseq IS NULL OR x.seq >= bseq GROUP BY x.key HAVING sum(CASE WHEN op <> 'DELETE' THEN v END) IS NOT NULL")
 def _wrap(s, d):
-    big = counters(s, d).withColumn("value", (F.col("value").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(17,0)")).cast("decimal(38,0)"))
+    big = counters(s, d).withColumn("value", (F.col("value").cast("decimal(20,0)") * F.lit(10**14).cast("decimal(17,0)")).cast("decimal(38,0)"))
     return visibility.resolve(big, merge=merge.Wrap64Add(), has_ranges=False).select("key", F.col("value").cast("string").alias("value"))
 
 

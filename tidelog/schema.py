@@ -43,6 +43,7 @@ class Options:
     create_if_missing: bool = True
     error_if_exists: bool = False
     read_only: bool = False
+    value_type: T.DataType = field(default_factory=T.StringType)
     merge_operator: Any = None
     compaction_filter: Any = None
     compaction_filter_factory: Any = None
