@@ -8,7 +8,7 @@ rows of the learning part.  Labels are read only of rows outside the held-out fo
 
 Fitted on bounded samples (FIT_POSITIVE, FIT_UNLABELLED and FIT_CALIBRATION rows, by hash of doc_id).
 
-Cases: null and empty texts score the calibrated intercept; repeated rows get equal rows; no toxic label to
+Cases: null and empty texts score the calibrated intercept; repeated rows get equal rows; no toxic text to
 learn from: every score is 0; further input columns are not read.
 """
 
@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     chosen = positive.unionByName(check).unionByName(unlabelled).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
     part = lambda p: [(r.text or "").encode() for r in rows if p in r.parts]
+    if not part("p"):
+        return None
     w = fit_nnpu(part("p"), part("u"), prior=float(np.clip(toxic / n, 0.01, 0.9)))
     good, bad = logits(w, part("c0")), logits(w, part("c1"))
     z, y = np.concatenate((good, bad)), np.concatenate((np.zeros(len(good)), np.ones(len(bad))))
