@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from . import chat, html_text, jaccard_join, license_scan, media, mixing, pieces, quality, secrets_scan, toxicity
 from .common import table
+from .mixing_sql import MIX_SQL
 
 
 def piece_model() -> str:
@@ -58,4 +59,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_html, op3_mixing, op4_toxicity, op5_quality, op6_chat, op7_jaccard, op8_media, op9_secrets, op10_licenses)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": MIX_SQL}
