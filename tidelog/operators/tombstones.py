@@ -23,13 +23,10 @@ def ranges(log: DataFrame) -> DataFrame:
     return rows.select("cf", F.col("key").alias("begin"), F.col("end_key").alias("end"), F.col("seq").alias("tseq"))
 
 
-def fragments(tombs: DataFrame) -> DataFrame:
-    """(cf, start, stop, seqs descending): disjoint intervals between neighbouring ends, with all that cover them."""
-    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct()
-    cells = ends.withColumn("stop", F.lead("start").over(W.partitionBy("cf").orderBy("start"))).filter("stop is not null")
-    inside = (F.col("c.cf") == F.col("t.cf")) & (F.col("t.begin") <= F.col("c.start")) & (F.col("t.end") >= F.col("c.stop"))
-    held = cells.alias("c").join(tombs.alias("t"), inside)
-    return held.groupBy("c.cf", "c.start", "c.stop").agg(F.sort_array(F.collect_set("t.tseq"), asc=False).alias("seqs"))
+def bucket_bounds(keys: DataFrame, column: str, buckets: int = BUCKETS) -> list:
+    """Up to buckets - 1 keys that cut a hashed sample of 16 * buckets keys into equal parts."""
+    sample = sorted(r[0] for r in keys.select(column).distinct().orderBy(F.xxhash64(column), column).limit(16 * buckets).collect())
+    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
 
 
 def bucket_of(column: Column, bounds: list) -> Column:
@@ -37,14 +34,32 @@ def bucket_of(column: Column, bounds: list) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= column)) if bounds else F.lit(0)
 
 
+def _few(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def fragments(tombs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(cf, start, stop, seqs descending): disjoint intervals between neighbouring ends, with all that cover them."""
+    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct()
+    cells = ends.withColumn("stop", F.lead("start").over(W.partitionBy("cf").orderBy("start"))).filter("stop is not null")
+    inside = (F.col("c.cf") == F.col("t.cf")) & (F.col("t.begin") <= F.col("c.start")) & (F.col("t.end") >= F.col("c.stop"))
+    if _few(tombs, broadcast_rows):
+        held = cells.alias("c").join(F.broadcast(tombs.alias("t")), inside)
+    else:  # a cell meets only the tombstones of its start's bucket
+        bounds = bucket_bounds(ends, "start")
+        spread = tombs.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("begin"), bounds), bucket_of(F.col("end"), bounds))))
+        dealt = cells.withColumn("bucket", bucket_of(F.col("start"), bounds))
+        held = dealt.alias("c").join(spread.alias("t"), inside & (F.col("c.bucket") == F.col("t.bucket")))
+    return held.groupBy("c.cf", "c.start", "c.stop").agg(F.sort_array(F.collect_set("t.tseq"), asc=False).alias("seqs"))
+
+
 def cover(points: DataFrame, tombs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """points with cover: the highest tseq over the key, null if none."""
-    cells = fragments(tombs).select("cf", "start", "stop", F.col("seqs")[0].alias("cover"))
-    if cells.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    cells = fragments(tombs, broadcast_rows).select("cf", "start", "stop", F.col("seqs")[0].alias("cover"))
+    if _few(cells, broadcast_rows):
         on = (F.col("p.cf") == F.col("c.cf")) & (F.col("p.key") >= F.col("c.start")) & (F.col("p.key") < F.col("c.stop"))
         return points.alias("p").join(F.broadcast(cells.alias("c")), on, "left").select("p.*", "c.cover")
-    parts = cells.select("start", F.ntile(BUCKETS).over(W.orderBy("start")).alias("part"))
-    bounds = [r[0] for r in parts.groupBy("part").agg(F.min("start").alias("low")).orderBy("low").select("low").collect()]  # BUCKETS rows
+    bounds = bucket_bounds(cells, "start")
     spread = cells.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("start"), bounds), bucket_of(F.col("stop"), bounds))))
     dealt = points.withColumn("bucket", bucket_of(F.col("key"), bounds))
     on = (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("p.key") >= F.col("c.start")) & (F.col("p.key") < F.col("c.stop"))
