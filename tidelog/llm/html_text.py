@@ -43,6 +43,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Name parts (class, id, role) that tell what stands beside an article.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+UNSEEN = re.compile(r"""\bhidden(?:\s|/|=|$)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -93,6 +94,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name == "p" and stack and stack[-1][0] == "p":
                 shut(len(stack) - 1)
             named = any(NAMES.search(next(filter(None, x), "")) for x in ATTRIBUTE.findall(m[3])) if "=" in m[3] and name not in ("html", "body", "article", "main") else False
+            named = named or bool(UNSEEN.search(m[3]))
             comment = name == "article" and bool(re.search(r"comment|reply", m[3], re.I))
             adds = (1 if name in ASIDE or named or comment else 0) + (2 if name == "article" and not comment else 0) + (4 if name == "main" else 0)
             side += adds & 1
