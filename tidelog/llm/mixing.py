@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
 SHARD_WORDS = 250_000
 MOST_SHARDS = 4096
+#: Copies of each source's row, so that a source with a third of all documents is joined in many tasks.
+SALTS = 64
 SEED = "mix-1"
 
 
@@ -86,8 +88,9 @@ def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = B
     dealt = (
         sizes.withColumn("_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
         .withColumn("key", _hash32(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        .withColumn("_salt", F.col("key") % SALTS)
         .drop("source")
-        .join(sources.select("_id", "shards", "source_size", "target"), "_id")
+        .join(sources.select("_id", "shards", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")), ["_id", "_salt"])
         .withColumn("shard", F.col("key") % F.col("shards"))
     )
     shards = dealt.groupBy("_id", "shard").agg(F.sum("size").alias("shard_size")).join(sources.select("_id", "source_quota"), "_id")
