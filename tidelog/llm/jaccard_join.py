@@ -289,8 +289,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> D
     found = cut(_links(alive, sigs, docs, threshold))
     classes = components(found.filter("right is not null").select("left", "right"))
     degree = found.filter("right is null").groupBy(F.col("left").alias("key")).agg(F.sum("n").alias("n_links"))
-    named = sigs.select("key", "rep", "n_copies").join(classes, "key", "left").join(degree, "key", "left").select("key", "rep", "n_copies", F.coalesce("class", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.groupBy("class").agg(F.min("rep").alias("class_id"))
+    named = cut(sigs.select("key", "rep", "n_copies").join(classes, "key", "left").join(degree, "key", "left").select("key", "rep", "n_copies", F.coalesce("class", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    # read back, so that both sides of the join below are shuffled for it and a large class can be split
+    least = cut(named.groupBy("class").agg(F.min("rep").alias("class_id")))
     return rows.select("doc_id", "key").join(named.join(least, "class"), "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
