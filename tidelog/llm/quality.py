@@ -27,9 +27,9 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 BITS = 15
 #: Labelled rows that the model is fitted on, at most.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 #: Documents less likely good than this are rejected.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.35
 _SYMBOL = np.array([chr(i) in "#*$%&|<>" for i in range(256)])
 _KINDS = 6
 
@@ -163,8 +163,10 @@ def train(sample: list[tuple[bytes, int]]) -> dict | None:
         return None
     rows = Rows([t for t, _ in sample])
     out = np.arange(len(sample)) % 5 == 4
-    w = fit_logistic(rows.take(~out), y[~out])
-    a, c = calibrate(rows.take(out).dot(w), y[out]) if 0 < y[out].sum() < out.sum() else (1.0, 0.0)
+    fit, held = rows.take(~out), rows.take(out)
+    del rows
+    w = fit_logistic(fit, y[~out])
+    a, c = calibrate(held.dot(w), y[out]) if 0 < y[out].sum() < out.sum() else (1.0, 0.0)
     share = np.clip(y[out].mean(), 0.02, 0.98) if out.any() else 0.5
     return {"w": w.astype(np.float32), "a": a, "c": c, "share": float(share)}
 
