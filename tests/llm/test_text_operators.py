@@ -372,6 +372,18 @@ def test_licenses(spark, docs):
     assert got[1].labels == got[2].labels == "gpl-3" and got[3].labels == "" and got[4].score == 0 and got[4].n_words == 0
 
 
+def test_related_licenses_are_told_apart(spark):
+    whole = {i: (label, text) for i, (label, text, _) in enumerate(license_scan.TEMPLATES)}
+    rows = [(i, f"some words before. {text}. and some after") for i, (_, text) in whole.items()]
+    rows += [(100, "Licensed under the Apache License, Version 1.1"), (101, "This work is licensed under the GNU General Public License, version 2"), (102, "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License")]
+    rows.append((103, "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License"))
+    rows.append((104, " filler here ".join(text for _, text in whole.values())))
+    rows.append((105, "This work is licensed under a Creative Commons Attribution and then NonCommercial 4.0 International License. " + whole[12][1]))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i in whole} == {i: label for i, (label, _) in whole.items()} and all(got[i].score == 1 for i in whole)
+    assert [got[i].labels for i in range(100, 106)] == ["", "", "", "lgpl", ",".join(sorted({x for x, _ in whole.values()})), "mpl-2"]
+
+
 # Stated cases of every operator
 
 

@@ -3,7 +3,9 @@
 Every rolling hash of k words of a text is joined by Spark to the template positions with that hash.  A hit votes
 for the diagonal text position - template position; neighbouring diagonals (words put in or left out) are merged, and
 a merged diagonal is verified: the share of the template's windows that it holds must reach COVERAGE inside a span
-about as long as the template.  Exact phrases are found besides, as the base.
+about as long as the template, and the windows that tell the template from its relatives must all be among them.  Where
+verified spans of different labels overlap, the one of the larger share stays (then of more windows; ties stay both).
+Exact phrases are found besides, as the base.  The score is the largest share, 1 for a phrase.
 
 Templates are a fixed, short list, so their side is broadcast (its size is checked).  Only matching windows
 are shuffled.
@@ -29,21 +31,21 @@ NEAR = 2
 COVERAGE = 0.6
 #: Phrases of the base and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: License statements by label.
+#: License statements by label, and the K-word windows that tell each from its relatives.
 TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", "Released under the MIT License", ("the mit license",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ()),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", ("license version 2",)),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", ()),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("commons attribution noncommercial",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("attribution 4 0",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("commons attribution sharealike",)),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu general public", "license version 3")),
+    ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ("gnu general public", "either version 2")),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general",)),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
 )
 
 
@@ -51,13 +53,20 @@ def _words(text: str) -> np.ndarray:
     return Batch([text.encode()], LETTERS, lower=True).words()
 
 
-def template_windows() -> list[tuple[int, int, str, int, int]]:
-    """(hash, template, label, position, windows of the template)."""
+def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the K-word windows of one text."""
+    b = Batch([text.encode()], LETTERS, lower=True)
+    return b.word_grams(b.words(), K)
+
+
+def template_windows() -> list[tuple[int, int, str, int, int, list[int]]]:
+    """(hash, template, label, position, windows of the template, positions that it is told by)."""
     out = []
-    for i, (label, text) in enumerate(TEMPLATES):
-        b = Batch([text.encode()], LETTERS, lower=True)
-        at, grams = b.word_grams(b.words(), K)
-        out += [(int(h.astype(np.int64)), i, label, int(p), len(at)) for p, h in zip(at, grams, strict=True)]
+    for i, (label, text, tells) in enumerate(TEMPLATES):
+        at, grams = _windows(text)
+        where = dict(zip(grams.tolist(), at.tolist(), strict=True))
+        told = [where[int(_windows(x)[1][0])] for x in tells]
+        out += [(int(h.astype(np.int64)), i, label, int(p), len(at), told) for p, h in zip(at, grams, strict=True)]
     assert len(out) < 100_000, "templates are broadcast"
     return out
 
@@ -117,17 +126,26 @@ def windows(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), text_or_empty().alias("text"))
-    known = spark.createDataFrame(template_windows(), "hash long, template int, label string, spot int, windows int")
+    known = spark.createDataFrame(template_windows(), "hash long, template int, label string, spot int, windows int, told array<int>")
     hits = windows(texts).join(F.broadcast(known), "hash").withColumn("diagonal", F.col("at") - F.col("spot"))
-    keys = ["doc_id", "row_key", "template", "label", "windows"]
+    keys = ["doc_id", "row_key", "template", "label", "windows", "told"]
     votes = hits.groupBy(*keys, "diagonal").agg(F.collect_set("spot").alias("spots"), F.min("at").alias("start"), F.max("at").alias("stop"))
     order = W.partitionBy(*keys).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
     grouped = votes.withColumn("apart", apart.cast("int")).withColumn("band", F.sum("apart").over(order))
-    bands = grouped.groupBy(*keys, "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("held"), (F.max("stop") - F.min("start") + 1).alias("length"))
-    share = F.col("held") / F.greatest(F.col("windows"), F.col("length") - NEAR * K)
-    judged = bands.withColumn("share", F.least(share, F.lit(1.0)))
-    found = judged.groupBy("doc_id", "row_key").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= COVERAGE, F.col("label"))).alias("found"))
+    spots = F.array_distinct(F.flatten(F.collect_list("spots")))
+    bands = grouped.groupBy(*keys, "band").agg(spots.alias("spots"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    held, length = F.size("spots"), F.col("stop") - F.col("start") + 1
+    share = F.least(held / F.greatest(F.col("windows"), length - NEAR * K), F.lit(1.0))
+    judged = bands.withColumn("share", share).withColumn("held", held).withColumn("sure", (F.col("share") >= COVERAGE) & (F.size(F.array_except("told", "spots")) == 0))
+    # a verified span is no longer than this, so one that overlaps another starts this near
+    reach = max(int(w / COVERAGE) + 1 for *_, w, _ in template_windows()) + NEAR * K + K
+    span = F.struct("label", "start", "stop", "share", "held")
+    around = W.partitionBy("doc_id", "row_key").orderBy("start").rangeBetween(-reach, reach)
+    rivals = judged.withColumn("rivals", F.collect_list(F.when(F.col("sure"), span)).over(around))
+    better = F.exists("rivals", lambda r: (r["label"] != F.col("label")) & (r["start"] <= F.col("stop")) & (F.col("start") <= r["stop"]) & (F.struct(r["share"], r["held"]) > F.struct("share", "held")))
+    told = rivals.select("doc_id", "row_key", "share", F.when(F.col("sure") & ~better, F.col("label")).alias("label"))
+    found = told.groupBy("doc_id", "row_key").agg(F.max("share").alias("share"), F.collect_set("label").alias("found"))
     base = base_scan(texts)
     both = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.row_key") == F.col("f.row_key")), "left")
     listed = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
