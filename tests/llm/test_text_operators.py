@@ -181,11 +181,31 @@ def test_toxicity_held_out(spark):
     assert np.mean(hit) > 0.85 and np.mean(false) < 0.03
 
 
+def said(r, bad):
+    return " ".join(r.choices("abc def ghi jkl mno pqr stu vwx".split(), k=30) + (["vileword"] if bad else [])).encode()
+
+
 def test_nnpu_finds_positives_among_unlabelled():
     r = random.Random(0)
-    text = lambda bad: " ".join(r.choices("abc def ghi jkl mno pqr stu vwx".split(), k=30) + (["vileword"] if bad else [])).encode()
-    w = toxicity.fit_nnpu([text(True) for _ in range(200)], [text(i % 10 == 0) for i in range(500)], prior=0.1)
-    assert toxicity.logits(w, [text(True)])[0] > 0 > toxicity.logits(w, [text(False)])[0]
+    sparse = toxicity.Sparse.of
+    w = toxicity.fit_nnpu(sparse([said(r, True) for _ in range(200)]), sparse([said(r, i % 10 == 0) for i in range(500)]), prior=0.1)
+    assert toxicity.logits(w, [said(r, True)])[0] > 0 > toxicity.logits(w, [said(r, False)])[0]
+
+
+def test_calibration_leaves_out_its_fold(monkeypatch):
+    r = random.Random(1)
+    parts = {"p": [(i, said(r, True)) for i in range(60)], "u": [(i, said(r, i < 60)) for i in range(400)], "c0": [(i, said(r, False)) for i in range(60, 300)], "c1": [(i, said(r, True)) for i in range(60)]}
+    seen = []
+    fit = toxicity.fit_nnpu
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, prior: seen.append((p.n, u.n)) or fit(p, u, prior))
+    m = toxicity.fit_folds(parts, 0.15)
+    folds = [[toxicity.fold(d) for d, _ in parts[k]] for k in ("p", "u")]
+    assert seen == [(60, 400)] + [tuple(sum(f != i for f in x) for x in folds) for i in range(toxicity.FOLDS)]
+    s = toxicity.scores([said(r, True).decode(), said(r, False).decode()], m)
+    assert s[0] > 0.9 and s[1] < 0.1
+    del seen[:]
+    toxicity.fit_folds(parts | {"p": parts["p"][:1]}, 0.15)
+    assert seen == [(1, 400)]
 
 
 def plain_features(text):

@@ -4,12 +4,14 @@ A linear classifier over hashed words and word beginnings (3 to 6 characters), e
 those that toxic texts hold beyond chance, is trained in numpy from confirmed toxic texts and unlabelled ones.  Its risk is the positive risk times the class
 prior plus the unlabelled negative risk less the prior times the positive texts' negative risk, that difference
 kept from falling below zero (where it does, the step goes the other way).  Scores are calibrated on labelled
-rows of the learning part.  Labels are read only of rows outside the held-out fold.
+rows of the learning part, each scored by a classifier that was trained without its fold (FOLDS of them).  Labels are
+read only of rows outside the held-out fold.
 
 Fitted on bounded samples (FIT_POSITIVE, FIT_UNLABELLED and FIT_CALIBRATION rows, by hash of doc_id).
 
 Cases: null and empty texts score the calibrated intercept; repeated rows get equal rows; no toxic text to
-learn from: every score is 0; further input columns are not read.
+learn from: every score is 0; too few for every fold to leave one: calibrated on the texts trained from; further
+input columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .quality import _sigmoid, calibrate
 
 BITS = 18
 FIT_POSITIVE, FIT_UNLABELLED, FIT_CALIBRATION = 1500, 3000, 1500
+FOLDS = 3
 THRESHOLD = 0.3
 BEGINNINGS = (3, 4, 5, 6)
 #: A bucket is used if its share of the toxic texts exceeds that of the unlabelled ones by so much and so many deviations.
@@ -59,13 +62,27 @@ def logits(weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _sparse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    row, col = [], []
-    for a, z in slices(texts):
-        owner, bucket = features(Batch(texts[a:z], LETTERS, lower=True))
-        row.append(owner + a)
-        col.append(bucket)
-    return (np.concatenate(row), np.concatenate(col)) if row else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+class Sparse:
+    """The (owner, bucket) pairs of some texts."""
+
+    def __init__(self, n: int, row: np.ndarray, col: np.ndarray):
+        self.n, self.row, self.col = n, row, col
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Sparse:
+        row, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, z in slices(texts):
+            owner, bucket = features(Batch(texts[a:z], LETTERS, lower=True))
+            row.append(owner + a)
+            col.append(bucket)
+        return cls(len(texts), np.concatenate(row), np.concatenate(col))
+
+    def take(self, mask: np.ndarray) -> Sparse:
+        keep = mask[self.row]
+        return Sparse(int(mask.sum()), (np.cumsum(mask) - 1)[self.row[keep]], self.col[keep])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n) + w[-1]
 
 
 def screen(pc: np.ndarray, uc: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray:
@@ -76,18 +93,18 @@ def screen(pc: np.ndarray, uc: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray
     return (fp - fu >= max(LEAST_SHARE, 2 / n_pos)) & (fp - fu >= LEAST_Z * spread)
 
 
-def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, least: float = 0.0) -> np.ndarray:
+def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, least: float = 0.0) -> np.ndarray:
     """Weights that minimise the non-negative risk with the logistic loss, by Adam over whole passes."""
-    (pr, pc), (ur, uc) = _sparse(positive), _sparse(unlabelled)
     size = (1 << BITS) + 1
-    np_, nu = max(len(positive), 1), max(len(unlabelled), 1)
-    use = screen(pc, uc, np_, nu)
-    pr, pc, ur, uc = pr[use[pc]], pc[use[pc]], ur[use[uc]], uc[use[uc]]
+    np_, nu = max(positive.n, 1), max(unlabelled.n, 1)
+    use = screen(positive.col, unlabelled.col, np_, nu)
+    pr, pc = positive.row[use[positive.col]], positive.col[use[positive.col]]
+    ur, uc = unlabelled.row[use[unlabelled.col]], unlabelled.col[use[unlabelled.col]]
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        zp = np.bincount(pr, weights=w[pc], minlength=len(positive)) + w[-1]
-        zu = np.bincount(ur, weights=w[uc], minlength=len(unlabelled)) + w[-1]
+        zp = np.bincount(pr, weights=w[pc], minlength=positive.n) + w[-1]
+        zu = np.bincount(ur, weights=w[uc], minlength=unlabelled.n) + w[-1]
         sp, su = _sigmoid(zp), _sigmoid(zu)
         # logistic loss: softplus(-z) of a positive, softplus(z) of a negative
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -106,6 +123,26 @@ def held_out(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def fold(doc_id: int) -> int:
+    return (zlib.crc32(str(doc_id).encode()) >> 8) % FOLDS
+
+
+def fit_folds(parts: dict[str, list[tuple[int, bytes]]], prior: float) -> dict:
+    """Weights from all of p (toxic) and u (unlabelled), calibrated on c0 and c1 fold by fold."""
+    x = {k: Sparse.of([t for _, t in rows]) for k, rows in parts.items()}
+    at = {k: np.array([fold(d) for d, _ in rows], int) for k, rows in parts.items()}
+    w = fit_nnpu(x["p"], x["u"], prior)
+    z = {k: x[k].dot(w) for k in ("c0", "c1")}
+    if all((at["p"] != i).any() for i in range(FOLDS)):
+        for i in range(FOLDS):
+            without = fit_nnpu(x["p"].take(at["p"] != i), x["u"].take(at["u"] != i), prior)
+            for k in z:
+                z[k][at[k] == i] = x[k].take(at[k] == i).dot(without)
+    y = np.repeat((0.0, 1.0), (len(z["c0"]), len(z["c1"])))
+    a, c = calibrate(np.concatenate((z["c0"], z["c1"])), y) if 0 < y.sum() < len(y) else (1.0, 0.0)
+    return {"w": w.astype(np.float32), "a": a, "c": c}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -117,14 +154,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     unlabelled = first(docs.select("doc_id").filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit(2))), FIT_UNLABELLED).withColumn("part", F.lit("u"))
     chosen = positive.unionByName(check).unionByName(unlabelled).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    part = lambda p: [(r.text or "").encode() for r in rows if p in r.parts]
-    if not part("p"):
-        return None
-    w = fit_nnpu(part("p"), part("u"), prior=float(np.clip(toxic / n, 0.01, 0.9)))
-    good, bad = logits(w, part("c0")), logits(w, part("c1"))
-    z, y = np.concatenate((good, bad)), np.concatenate((np.zeros(len(good)), np.ones(len(bad))))
-    a, c = calibrate(z, y) if len(good) and len(bad) else (1.0, 0.0)
-    return {"w": w.astype(np.float32), "a": a, "c": c}
+    parts = {p: [(r.doc_id, (r.text or "").encode()) for r in rows if p in r.parts] for p in ("p", "u", "c0", "c1")}
+    return fit_folds(parts, prior=float(np.clip(toxic / n, 0.01, 0.9))) if parts["p"] else None
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
