@@ -103,6 +103,9 @@ def test_html_roles_and_entities():
     assert html_text.main_text(html_text.blocks(page), None)[0] == "T & x\nonetwo three\nfour"
     assert html_text.blocks("") == [] and html_text.blocks("a < b") == [(html_text.OPEN, "a < b")]
     assert html_text.blocks("<p>x<!-- open") == [(html_text.OPEN, "x")]
+    broken = """<article><p title="it's">one</p><p class="a>two</p><p title='x > y'>three <b class="c"""
+    assert html_text.blocks(broken) == [(html_text.MAIN, x) for x in ("one", "two", "three")]
+    assert html_text.blocks("<p>1 < 2 <") == [(html_text.OPEN, "1 < 2 <")]
 
 
 def test_repeated_runs_of_a_host_go(spark):

@@ -12,7 +12,8 @@ Streams are distinct before suffixes are made, suffixes are dealt by host and fi
 reads them in sorted order, holding neighbours only, so a host with a third of all pages is no single task.
 
 Cases: null and empty pages give the empty text; unclosed elements end where an enclosing one does or with the page;
-an unclosed script, style or comment hides the rest; repeated rows get equal rows; a null url is a host of its own;
+an unclosed script, style or comment hides the rest; a tag with an unpaired quote ends at its first >, and one that the
+end of the page cuts off is no text; repeated rows get equal rows; a null url is a host of its own;
 white space (also U+00A0) inside a block becomes one space; further columns are not read.
 """
 
@@ -42,7 +43,9 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Name parts (class, id, role) that tell what stands beside an article.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.S)
+#: A tag that the end of the page cuts off.
+CUT_TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*\Z")
 UNSEEN = re.compile(r"""\bhidden(?:\s|/|=|$)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -101,7 +104,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             article += adds >> 1 & 1
             main += adds >> 2 & 1
             stack.append((name, adds))
-    text.append(page[at:])
+    text.append(CUT_TAG.sub("", page[at:]))
     flush()
     inside = 1 if any(a and not s for s, a, _, _ in found) else 2 if any(m and not s for s, _, m, _ in found) else 0
     return [(SIDE if x[0] else MAIN if inside and x[inside] else SIDE if inside else OPEN, x[3]) for x in found]
