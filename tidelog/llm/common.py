@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def least_hashed(df: DataFrame, n: int, k: int, seed: int | None = None) -> DataFrame:
+    """(doc_id): the k distinct ids of least hash, of about n.  Only some 2 k rows reach the task that orders them."""
+    h = F.xxhash64("doc_id") if seed is None else F.xxhash64("doc_id", F.lit(seed))
+    bound = min(2**63 - 1, int(2**64 * min(1.0, (2 * k + 50) / max(n, 1))) - 2**63)
+    return df.select("doc_id", h.alias("h")).filter(F.col("h") <= bound).distinct().orderBy("h", "doc_id").limit(k).select("doc_id")
+
+
 def slices(items: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges over items, each of about limit bytes or of one longer item."""
     start = size = 0

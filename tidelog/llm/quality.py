@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import least_hashed, slices
 from .grams import Batch, U, mix
 
 LEAST_WORDS = 50
@@ -149,8 +149,9 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bytes, int]]:
     """Up to rows labelled texts, chosen by hash; of the bad ones up to a third."""
-    one = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
-    part = lambda q, n: one.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(n).select("doc_id", "quality")
+    one = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    count = {r.quality: r["count"] for r in one.groupBy("quality").count().collect()}
+    part = lambda q, k: least_hashed(one.filter(F.col("quality") == q), count.get(q, 0), k).withColumn("quality", F.lit(q))
     chosen = part(0, rows // 3).unionByName(part(1, rows - rows // 3))
     found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text")).orderBy("doc_id").collect()
     return [(r.text.encode(), int(r.quality)) for r in found]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import least_hashed, slices
 from .grams import LETTERS, U, Batch, mix
 from .quality import _sigmoid, calibrate
 
@@ -144,16 +144,17 @@ def fit_folds(parts: dict[str, list[tuple[int, bytes]]], prior: float) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not toxic:
         return None
-    first = lambda df, k: df.orderBy("h", "doc_id").limit(k).select("doc_id")
-    positive = first(known.filter("toxic = 1"), FIT_POSITIVE).withColumn("part", F.lit("p"))
-    check = first(known.withColumn("h", F.xxhash64("doc_id", F.lit(1))), FIT_CALIBRATION).join(known.select("doc_id", "toxic"), "doc_id").select("doc_id", F.concat(F.lit("c"), F.col("toxic").cast("string")).alias("part"))
-    unlabelled = first(docs.select("doc_id").filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit(2))), FIT_UNLABELLED).withColumn("part", F.lit("u"))
+    positive = least_hashed(known.filter("toxic = 1"), toxic, FIT_POSITIVE).withColumn("part", F.lit("p"))
+    check = least_hashed(known, n, FIT_CALIBRATION, 1).join(known, "doc_id").select("doc_id", F.concat(F.lit("c"), F.col("toxic").cast("string")).alias("part"))
+    unlabelled = least_hashed(docs.filter("doc_id is not null"), docs.count(), FIT_UNLABELLED, 2).withColumn("part", F.lit("u"))
     chosen = positive.unionByName(check).unionByName(unlabelled).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    # an id that repeats comes once, with its greatest text
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("parts").alias("parts"))
+    rows = found.orderBy("doc_id").collect()
     parts = {p: [(r.doc_id, (r.text or "").encode()) for r in rows if p in r.parts] for p in ("p", "u", "c0", "c1")}
     return fit_folds(parts, prior=float(np.clip(toxic / n, 0.01, 0.9))) if parts["p"] else None
 
