@@ -118,6 +118,21 @@ def test_repeated_runs_of_a_host_go(spark):
     assert got[10].text == common and got[11].text == got[12].text == ""
 
 
+def test_repeated_blocks_inside_articles_go(spark):
+    note = "leave us your address and read a new story every morning"
+    story = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    page = lambda text, side="": f"<nav>{side}</nav><article><p>{text}</p><div class='box'>{note}</div><p>end {hash(text)}</p></article>"
+    rows = [(i, "http://h.example/", page(story(i, 30))) for i in range(4)]
+    rows += [(10 + i, "http://copies.example/", page(story("c", 30), f"menu {i}")) for i in range(4)]  # one article
+    rows += [(20 + i, "http://near.example/", f"<article><p>{story('n', 30)}</p><p>{story(f'n{i}', 6)}</p></article>") for i in range(4)]
+    rows += [(30 + i, "http://two.example/", page(story(f"t{i}", 30))) for i in range(2)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i].text == f"{story(i, 30)}\nend {hash(story(i, 30))}" and got[i].n_repeated == 1
+        assert note in got[10 + i].text and got[20 + i].text == f"{story('n', 30)}\n{story(f'n{i}', 6)}"
+    assert note in got[30].text and note in got[31].text
+
+
 def test_op2_keeps_articles_whole(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html

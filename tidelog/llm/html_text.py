@@ -2,14 +2,18 @@ r"""HTML extraction with a host's suffix array.
 
 A page becomes blocks in page order, each with the role that markup gives it: main (inside article, or else main), side
 (menus, headers, footers, asides, forms, adverts, notices, comments, by element or by class, id and role names) or open
-(neither).  The blocks outside the main text make the page's token stream.  All suffixes of a host's distinct streams,
-cut after LONGEST tokens, are sorted; neighbours that agree on RUN tokens or more, in at least STREAMS distinct streams,
-mark a long substring that repeats across pages.  A block that such runs cover is boilerplate; unique runs stay.  Side
-blocks go as well where their run is not repeated (the exact check after the array); main blocks always stay,
-so a page that copies another keeps its article.
+(neither).  A page has two token streams: its blocks outside the main text, and its main text, the article.  All
+suffixes of a host's distinct streams of a kind, cut after LONGEST tokens, are sorted; neighbours that agree on RUN
+tokens or more, in at least STREAMS distinct streams, mark a long substring that repeats across pages.  A block that
+such runs cover is boilerplate, inside an article too (adverts, notices, sign-ups without a telling name); unique runs
+stay.  Side blocks go as well where their run is not repeated (the exact check after the array).  Streams of articles are distinct
+articles, so a page that copies another keeps its article; where runs cover more than half of an article's
+tokens, it is a near copy and stays whole.  The kinds are apart: a teaser of an article on other pages takes nothing from it.
 
 Streams are distinct before suffixes are made, suffixes are dealt by host and first RUN tokens, not by host, and a task
 reads them in sorted order, holding neighbours only, so a host with a third of all pages is no single task.
+Of articles, only suffixes whose first RUN tokens may occur in STREAMS articles are made: a count over hashes finds
+these starts, a bitmap carries them to the pages.  Both may let further suffixes pass and lose none.
 
 Cases: null and empty pages give the empty text; unclosed elements end where an enclosing one does or with the page;
 an unclosed script, style or comment hides the rest; a tag with an unpaired quote ends at its first >, and one that the
@@ -31,10 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .grams import Batch, U
+from .common import slices, text_or_empty
+from .grams import Batch, U, mix
 
 RUN, LONGEST, STREAMS, COVERED = 5, 12, 3, 0.6
+#: An article of which runs cover a larger share is a near copy.
+COPIED = 0.5
+#: Starts of articles are counted in so many parts.
+PARTS = 1 << 10
 MAIN, SIDE, OPEN = 0, 1, 2
 #: Elements by what they do.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea head title".split())
@@ -121,20 +129,25 @@ def stream_key(at: str, stream: list[str]) -> bytes:
     return hashlib.blake2b("\n".join([at, *stream]).encode(), digest_size=16).digest()
 
 
+#: Before the host in keys of articles; no host begins with it.
+ARTICLE = "\0"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, key, packed): the blocks of each page, compressed, and the key of its stream."""
+    """(page_id, url, key, article, packed): the blocks of each page, compressed, and the keys of its streams."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            keys, packed = [], []
+            keys, articles, packed = [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found = blocks(page)
                 keys.append(stream_key(host(url), [t for r, t in found if r != MAIN]))
+                articles.append(stream_key(ARTICLE + host(url), [t for r, t in found if r == MAIN]))
                 packed.append(z.compress(json.dumps(found, ensure_ascii=False).encode()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "key", "packed"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(articles, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "key", "article", "packed"])
 
-    return pages.mapInArrow(run, "page_id long, url string, key binary, packed binary")
+    return pages.mapInArrow(run, "page_id long, url string, key binary, article binary, packed binary")
 
 
 def streams(pages: DataFrame) -> DataFrame:
@@ -172,19 +185,123 @@ def suffixes(distinct: DataFrame) -> DataFrame:
     return distinct.select("host", "key", "stream").mapInArrow(run, "start long, suffix binary, key binary, at int")
 
 
+def _articles(b: pa.RecordBatch):
+    """(keys, texts, words, first words, starts) of the distinct articles of a record batch, by slices."""
+    seen = {}
+    for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        at, stream = ARTICLE + host(url), [t for r, t in blocks(page) if r == MAIN]
+        if stream:
+            seen[stream_key(at, stream)] = (int.from_bytes(hashlib.blake2b(at.encode(), digest_size=8).digest(), "little"), "\n".join(stream).encode())
+    keys, texts = list(seen), [t for _, t in seen.values()]
+    hosts = np.array([h for h, _ in seen.values()], np.uint64)
+    for i, j in slices(texts):
+        x = Batch(texts[i:j])
+        words = x.words()
+        first, grams = x.word_grams(words, RUN)
+        yield keys[i:j], x, words, first, mix(grams ^ hosts[i:j][x.owner[first]])
+
+
+def thin(values: np.ndarray) -> bytes:
+    """Ascending 4-byte numbers as the bytes of their differences, without the upper bytes that none needs."""
+    planes = np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    used = 1 + max((i for i in range(4) if planes[i].any()), default=0)
+    z = zstandard.ZstdCompressor(level=3)
+    return bytes([used]) + z.compress(planes[:used].tobytes())
+
+
+def thick(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return np.cumsum(out.view("<u4").ravel(), dtype=np.uint32)
+
+
+def common_starts(pages: DataFrame) -> np.ndarray:
+    """A bitmap of the starts that STREAMS articles or more may hold; it has a start's slot by its upper 36 bits."""
+
+    def count(batches):
+        for b in batches:
+            found = []
+            for _, x, _, first, starts in _articles(b):
+                short = starts >> U(28)
+                order = np.lexsort((x.owner[first], short))
+                short, owner = short[order], x.owner[first][order]
+                found.append(short[np.r_[True, (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])][: len(short)]])
+            if found:
+                values = np.sort(np.concatenate(found))
+                # a start counts STREAMS times at most
+                values = values[np.r_[np.ones(min(STREAMS, len(values)), bool), values[STREAMS:] != values[:-STREAMS]]]
+                ends = np.searchsorted(values, np.arange(PARTS + 1, dtype=np.uint64) << U(26))
+                low = (values & U((1 << 26) - 1)).astype("<u4")
+                rows = [(k, thin(low[i:j])) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
+                yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["part", "low"])
+
+    def often(batches):
+        now, held = None, []
+
+        def done():
+            values, n = np.unique(np.concatenate([thick(x) for x in held]), return_counts=True)
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([values[n >= STREAMS].tobytes()], pa.binary())], names=["part", "low"])
+
+        for b in batches:
+            for part, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if held:
+                        yield done()
+                    now, held = part, []
+                held.append(low)
+        if held:
+            yield done()
+
+    schema = "part int, low binary"
+    rows = pages.mapInArrow(count, schema).repartition("part").sortWithinPartitions("part").mapInArrow(often, schema).filter("length(low) > 0").collect()
+    values = np.concatenate([np.zeros(0, np.uint64), *((U(r.part) << U(26)) | np.frombuffer(r.low, "<u4").astype(np.uint64) for r in rows)])
+    bits = np.zeros(1 << min(27, max(13, (2 * len(values)).bit_length())), np.uint8)
+    slot = values & U(8 * len(bits) - 1)
+    np.bitwise_or.at(bits, slot >> U(3), np.uint8(1) << (slot & U(7)).astype(np.uint8))
+    return bits
+
+
+def article_suffixes(pages: DataFrame) -> DataFrame:
+    """As suffixes(), of the articles, with common starts only and without the tokens of the start; an article may come more than once."""
+    held = pages.sparkSession.sparkContext.broadcast(common_starts(pages))
+
+    def run(batches):
+        bits = held.value
+        for b in batches:
+            for keys, x, words, first, starts in _articles(b):
+                slot = (starts >> U(28)) & U(8 * len(bits) - 1)
+                use = np.flatnonzero(bits[slot >> U(3)] >> (slot & U(7)).astype(np.uint8) & 1)
+                if not len(use):
+                    continue
+                tokens = (words >> U(32)).astype(">u4").tobytes()
+                ends = np.cumsum(x.n_words)
+                owner, first = x.owner[first[use]], first[use]
+                stop = np.minimum(first + LONGEST, ends[owner])
+                place = first - (ends - x.n_words)[owner]
+                parts = [tokens[4 * (i + RUN) : 4 * j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(starts[use].view(np.int64)), pa.array(parts, pa.binary()), pa.array([keys[o] for o in owner], pa.binary()), pa.array(place.astype(np.int32))], names=["start", "suffix", "key", "at"])
+
+    return pages.mapInArrow(run, "start long, suffix binary, key binary, at int")
+
+
 def agreed(a: bytes, b: bytes) -> int:
     """Tokens that two suffixes share at their start."""
     n = min(len(a), len(b)) // 4
     return next((i for i in range(n) if a[4 * i : 4 * i + 4] != b[4 * i : 4 * i + 4]), n)
 
 
-def repeats(array: DataFrame) -> DataFrame:
-    """(key, at, run): where a repeated run starts in a stream and how long it is, from neighbours in the sorted array."""
+def repeats(array: DataFrame, implied: int = 0) -> DataFrame:
+    """(key, at, run): where a repeated run starts in a stream and how long it is, from neighbours in the sorted array.
+
+    Of a suffix's first tokens, so many as implied are not there, as its start stands for them.
+    """
 
     def run(batches):
         held: list[tuple[bytes, bytes, int]] = []  # of one start, at most STREAMS streams wait for the next ones
         out: list[tuple[bytes, int, int]] = []
         now, others, last, length = None, set(), None, 0
+        before = None
 
         def done() -> None:
             if len(others) >= STREAMS:
@@ -193,10 +310,13 @@ def repeats(array: DataFrame) -> DataFrame:
 
         for b in batches:
             for start, suffix, key, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if before == (start, suffix, key, at):
+                    continue
+                before = (start, suffix, key, at)
                 if start != now:
                     done()
                     now, others, last, length = start, set(), None, 0
-                length = agreed(last, suffix) if last is not None else 0
+                length = implied + agreed(last, suffix) if last is not None else 0
                 if held and length > held[-1][2]:
                     held[-1] = (*held[-1][:2], length)
                 if len(others) < STREAMS:
@@ -216,24 +336,29 @@ def repeats(array: DataFrame) -> DataFrame:
     return array.repartition("start").sortWithinPartitions("start", "suffix", "key", "at").mapInArrow(run, "key binary, at int, run int")
 
 
-def main_text(found: list, runs: list[dict] | None) -> tuple[str, int]:
-    """The text that stays, and how many blocks outside the main text the repeated runs cover."""
-    outside = [t for r, t in found if r != MAIN]
-    sizes = [len(t.encode().split()) for t in outside]
+def repeated(texts: list[str], runs: list[dict] | None) -> tuple[list[bool], list[int]]:
+    """Which blocks of a stream the repeated runs cover, and the blocks' tokens."""
+    sizes = [len(t.encode().split()) for t in texts]
     covered = np.zeros(sum(sizes), bool)
     for x in runs or ():
         covered[x["at"] : x["at"] + x["run"]] = True
     ends = np.cumsum([0, *sizes])
-    gone = [bool(n) and covered[a : a + n].mean() >= COVERED for a, n in zip(ends, sizes)]  # noqa: B905
-    out, i = [], 0
+    return [bool(n) and bool(covered[a : a + n].mean() >= COVERED) for a, n in zip(ends, sizes)], sizes  # noqa: B905
+
+
+def main_text(found: list, runs: list[dict] | None, article_runs: list[dict] | None = None) -> tuple[str, int]:
+    """The text that stays, and how many blocks the repeated runs cover, those of near copies' articles not counted."""
+    gone, _ = repeated([t for r, t in found if r != MAIN], runs)
+    left, sizes = repeated([t for r, t in found if r == MAIN], article_runs)
+    if sum(n for n, x in zip(sizes, left, strict=True) if x) > COPIED * sum(sizes):
+        left = [False] * len(left)
+    outside, inside = iter(gone), iter(left)
+    out = []
     for role, text in found:
-        if role == MAIN:
+        drop = next(inside if role == MAIN else outside)
+        if role != SIDE and not drop:
             out.append(text)
-        else:
-            if role == OPEN and not gone[i]:
-                out.append(text)
-            i += 1
-    return "\n".join(out), sum(gone)
+    return "\n".join(out), sum(gone) + sum(left)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_repeated long"
@@ -242,11 +367,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_repeated long"
 def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     runs = repeats(suffixes(streams(rows))).groupBy("key").agg(F.collect_list(F.struct("at", "run")).alias("runs"))
+    inside = repeats(article_suffixes(rows), RUN).groupBy(F.col("key").alias("article")).agg(F.collect_list(F.struct("at", "run")).alias("article_runs"))
 
     def run(batches):
         unz = zstandard.ZstdDecompressor()
         for b in batches:
-            done = [main_text(json.loads(unz.decompress(p)), r) for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            done = [main_text(json.loads(unz.decompress(p)), r, a) for p, r, a in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return parsed(rows).join(runs, "key", "left").select("page_id", "url", "packed", "runs").mapInArrow(run, SCHEMA)
+    return parsed(rows).join(runs, "key", "left").join(inside, "article", "left").select("page_id", "url", "packed", "runs", "article_runs").mapInArrow(run, SCHEMA)
