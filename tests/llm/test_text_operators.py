@@ -108,6 +108,27 @@ def test_html_roles_and_entities():
     assert html_text.blocks("<p>1 < 2 <") == [(html_text.OPEN, "1 < 2 <")]
 
 
+def test_html_articles_are_not_lost():
+    body = "<article><p>one two</p></article>"
+    for page in (
+        f"<html><head><meta charset='utf-8'><title>t</title><body>{body}",
+        f"<head><script>var a='<body>'</script>{body}",
+        f"<head><title>t<meta name='x'></head>{body}",
+        *(f"<body><p><{x} class='y'></p>{body}" for x in ("object", "svg", "iframe", "noscript", "template", "canvas", "video", "textarea")),
+        f"<body><select><option>a<option>b</select><select><option>c<option>d{body}",
+        f"<object>x</p>{body}<object><p>y</p></object>",
+        *(f"<div class='{x}'>{body}</div>" for x in ("has-sidebar", "no-sidebar wide", "fixed-header")),
+        f"<div id='search-page'><form action='/'><div>{body}</div></form></div>",
+        f"<div class='has-sidebar'><main>{body}<div class='sidebar'>no</div></main><div>no</div></div><p class='ad'>no",
+    ):
+        assert html_text.main_text(html_text.blocks(page), None)[0] == "one two", page
+    assert html_text.main_text(html_text.blocks("<div class='has-sidebar'><main><p>one two</p><form>no</form></main></div>"), None)[0] == "one two"
+    aside = "<aside><article>no</article></aside><div id='comments'><article>no</article></div><div style='display:none'><article>no</article></div>"
+    assert html_text.main_text(html_text.blocks(f"{aside}{body}{aside}"), None)[0] == "one two"
+    assert html_text.blocks("<p>x<style>y<p>z") == html_text.blocks("<p>x<script>y<p>z") == [(html_text.OPEN, "x")]
+    assert len(html_text.blocks("<p>x<svg>y" * 3000)) == 3000
+
+
 def test_repeated_runs_of_a_host_go(spark):
     common = "subscribe now to our daily letter and get it free"
     rows = [(i, f"http://h.example/{i}", f"<p>{common}</p><p>story {' '.join(f'w{i}x{j}' for j in range(30))}</p>") for i in range(6)]

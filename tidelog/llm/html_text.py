@@ -16,7 +16,9 @@ Of articles, only suffixes whose first RUN tokens may occur in STREAMS articles
 these starts, a bitmap carries them to the pages.  Both may let further suffixes pass and lose none.
 
 Cases: null and empty pages give the empty text; unclosed elements end where an enclosing one does or with the page;
-an unclosed script, style or comment hides the rest; a tag with an unpaired quote ends at its first >, and one that the
+an unclosed script, style or comment hides the rest, another hidden element without its end tag hides what comes before
+the next block or enclosing end; head hides nothing of its own, so its tags may be left out; the side names of a wrapper
+and a form around an article (or main) do not reach into it, unless the wrapper is for comments or related pages; a tag with an unpaired quote ends at its first >, and one that the
 end of the page cuts off is no text; repeated rows get equal rows; a null url is a host of its own;
 white space (also U+00A0) inside a block becomes one space; further columns are not read.
 """
@@ -45,12 +47,16 @@ COPIED = 0.5
 PARTS = 1 << 10
 MAIN, SIDE, OPEN = 0, 1, 2
 #: Elements by what they do.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea head title".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+#: Hidden elements whose content is no markup; the first two hide the rest of the page if nothing ends them.
+RAW = ("script", "style", "textarea", "title", "iframe", "noscript")
 ASIDE = frozenset("nav header footer aside form menu dialog button".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base head br col embed hr img input link meta param source track wbr".split())
 #: Name parts (class, id, role) that tell what stands beside an article.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Wrappers of these names hold articles that are not the page's.
+OTHERS = frozenset("comment comments disqus related replies".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.S)
 #: A tag that the end of the page cuts off.
 CUT_TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*\Z")
@@ -58,24 +64,60 @@ UNSEEN = re.compile(r"""\bhidden(?:\s|/|=|$)|\baria-hidden\s*=\s*["']?true|\bsty
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+class Ends:
+    """Where the hidden elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.pairs: dict[str, dict[int, int]] = {}
+        self.endless: set[str] = set()
+
+    def of(self, name: str, at: int, around: set[str]) -> int:
+        """The end of the element whose start tag ends at at, inside elements around."""
+        if name in RAW:
+            end = None if name in self.endless else re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+            if end:
+                return end.end()
+            self.endless.add(name)
+        else:
+            if name not in self.pairs:
+                self.pairs[name], opened = {}, []
+                for m in re.compile(rf"<(/?){name}(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.I).finditer(self.page):
+                    if not m[1] and not m[2].endswith("/"):
+                        opened.append(m.end())
+                    elif m[1] and opened:
+                        self.pairs[name][opened.pop()] = m.end()
+            if at in self.pairs[name]:
+                return self.pairs[name][at]
+        if name in RAW[:2]:
+            return len(self.page)
+        for m in TOKEN.finditer(self.page, at):
+            tag = m[2] and m[2].lower()
+            if tag and (tag in BLOCK and (name, tag) != ("select", "option") or m[1] and (tag in around or tag == "head")):
+                return m.start()
+        return len(self.page)
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(role, text) of the blocks with text."""
     found: list[tuple[int, bool, bool, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []  # element, what it adds: 1 side, 2 article, 4 main
-    side = article = main = 0
+    stack: list[tuple[str, int, int]] = []  # element, what it adds: 1 side, 2 article, 4 main, 8 side unless around an article; what of the last it hides
+    side = article = main = soft = 0
     at = 0
+    ends = Ends(page)
 
     def flush() -> None:
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
-                found.append((side, article > 0, main > 0, words))
+                found.append((side + soft, article > 0, main > 0, words))
             text.clear()
 
     def shut(i: int) -> None:
-        nonlocal side, article, main
-        for _, adds in stack[i:]:
+        nonlocal side, article, main, soft
+        for _, adds, hides in stack[i:]:
+            soft += hides - (adds >> 3 & 1)
             side -= adds & 1
             article -= adds >> 1 & 1
             main -= adds >> 2 & 1
@@ -99,19 +141,22 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     break
         elif name in HIDDEN:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = ends.of(name, at, {x[0] for x in stack})
         elif name not in VOID and not m[3].endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
                 shut(len(stack) - 1)
-            named = any(NAMES.search(next(filter(None, x), "")) for x in ATTRIBUTE.findall(m[3])) if "=" in m[3] and name not in ("html", "body", "article", "main") else False
-            named = named or bool(UNSEEN.search(m[3]))
+            names = [next(filter(None, x), "") for x in ATTRIBUTE.findall(m[3])] if "=" in m[3] and name not in ("html", "body", "article", "main") else []
+            named = any(map(NAMES.search, names))
+            others = named and not OTHERS.isdisjoint(" ".join(names).lower().split())
             comment = name == "article" and bool(re.search(r"comment|reply", m[3], re.I))
-            adds = (1 if name in ASIDE or named or comment else 0) + (2 if name == "article" and not comment else 0) + (4 if name == "main" else 0)
+            hard = name in ASIDE and name != "form" or others or comment or bool(UNSEEN.search(m[3]))
+            adds = (1 if hard else 8 if named or name == "form" else 0) + (2 if name == "article" and not comment else 0) + (4 if name == "main" else 0)
+            hides = soft if adds & 6 else 0
+            soft += (adds >> 3 & 1) - hides
             side += adds & 1
             article += adds >> 1 & 1
             main += adds >> 2 & 1
-            stack.append((name, adds))
+            stack.append((name, adds, hides))
     text.append(CUT_TAG.sub("", page[at:]))
     flush()
     inside = 1 if any(a and not s for s, a, _, _ in found) else 2 if any(m and not s for s, _, m, _ in found) else 0
