@@ -376,6 +376,20 @@ def test_media_round_trip(spark, docs):
         assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, sha(media.store(payload))) and r.feature == media.feature(payload)
 
 
+def test_shared_chunks_are_stored_once(spark):
+    import zstandard
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = word(60_000)
+    texts = [word(3000) + passage + word(3000) for _ in range(6)] + [passage[:40_000] * 2]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    whole, stripped, _ = media.stored(rows)
+    sizes = [len(zstandard.ZstdDecompressor().decompress(x.blob)) for x in whole.unionByName(stripped).collect()]
+    assert len(sizes) == 7 and sum(sizes) < 60_000 + 7 * 25_000
+    assert {x.media_sha256 for x in media.rebuilt(rows).collect()} == {sha(media.medium_of(x)) for x in texts}
+
+
 def test_chunks_follow_content(spark):
     r = random.Random(4)
     body = bytes(r.randrange(97, 123) for _ in range(60_000))

@@ -138,7 +138,7 @@ def _rebuild(batches):
     for b in batches:
         rows = []
         for key, blob, plan, fetched in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            kept = unz.decompress(blob)
+            kept, used = unz.decompress(blob), 0
             away = {c["seq"]: c for c in plan or () if not c["own"]}
             came = {c["seq"]: unz.decompress(c["data"]) for c in fetched or ()}
             if away.keys() != came.keys():
@@ -148,9 +148,9 @@ def _rebuild(batches):
                 c = away[seq]
                 if digest(came[seq]) != c["digest"]:
                     raise ValueError("a chunk differs from its digest")
-                out += [kept[at : c["start"]], came[seq]]
-                at = c["stop"]
-            medium = b"".join([*out, kept[at:]])
+                out += [kept[used : used + c["start"] - at], came[seq]]
+                used, at = used + c["start"] - at, c["stop"]
+            medium = b"".join([*out, kept[used:]])
             if digest(medium) != key:
                 raise ValueError("a medium differs from its digest")
             payload = read(medium)
@@ -158,28 +158,56 @@ def _rebuild(batches):
         yield _batch(rows, types, names)
 
 
+def _strip(batches):
+    """(key, blob, plan): the blob without the chunks that come from the store."""
+    z, unz = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+    for b in batches:
+        blobs = []
+        for blob, plan in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            away = sorted((c["start"], c["stop"]) for c in plan or () if not c["own"])
+            if away:
+                medium, ends = unz.decompress(blob), [0, *(x for c in away for x in c)]
+                blob = z.compress(b"".join(medium[i:j] for i, j in zip(ends[::2], [*ends[1::2], len(medium)], strict=True)))
+            blobs.append(blob)
+        yield pa.record_batch([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["key", "blob", "plan"])
+
+
 def _publish(batches):
     """(digest, data) of the chunks that a medium owns for others."""
     z, unz = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
     for b in batches:
         rows = []
         for blob, plan in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            medium = unz.decompress(blob)
-            rows += [(c["digest"], z.compress(medium[c["start"] : c["stop"]])) for c in plan if c["own"]]
+            kept, gone = unz.decompress(blob), 0
+            for c in sorted(plan, key=lambda c: c["start"]):
+                if c["own"]:
+                    rows.append((c["digest"], z.compress(kept[c["start"] - gone : c["stop"] - gone])))
+                else:
+                    gone += c["stop"] - c["start"]
         yield _batch(rows, [pa.binary(), pa.binary()], ["digest", "data"])
 
 
-def rebuilt(texts: DataFrame) -> DataFrame:
-    """Facts of every distinct medium, read from its rebuilt form."""
+def stored(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, blob, plan) of the distinct media that are whole, of the others without the chunks owned elsewhere, and (key, seq, digest) of those chunks."""
     chunks = chunk_lists(texts).distinct()
     place = F.struct("key", "seq")
     shared = chunks.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner <> other").select("digest", "owner")
     refs = chunks.join(shared, "digest").withColumn("own", F.struct("key", "seq") == F.col("owner")).drop("owner")
     plans = refs.groupBy("key").agg(F.collect_list(F.struct("seq", "digest", "start", "stop", "own")).alias("plan"))
-    media = packed(texts).join(plans, "key", "left")
-    owned = media.filter(F.exists("plan", lambda c: c["own"])).select("blob", "plan").mapInArrow(_publish, "digest binary, data binary")
-    fetched = refs.filter("not own").join(owned, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
-    return media.join(fetched, "key", "left").select("key", "blob", "plan", "fetched").mapInArrow(_rebuild, FACTS)
+    whole = packed(texts).join(plans, "key", "left")
+    lacks = F.coalesce(F.exists("plan", lambda c: ~c["own"]), F.lit(False))
+    stripped = whole.filter(lacks).mapInArrow(_strip, "key binary, blob binary, plan array<struct<seq: int, digest: binary, start: bigint, stop: bigint, own: boolean>>")
+    return whole.filter(~lacks), stripped, refs.filter("not own").select("key", "seq", "digest")
+
+
+def rebuilt(texts: DataFrame) -> DataFrame:
+    """Facts of every distinct medium, read from its rebuilt form."""
+    whole, stripped, away = stored(texts)
+    owned = whole.unionByName(stripped).filter(F.exists("plan", lambda c: c["own"])).select("blob", "plan").mapInArrow(_publish, "digest binary, data binary")
+    fetched = away.join(owned, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
+    filled = stripped.join(fetched, "key", "left").select("key", "blob", "plan", "fetched")
+    alone = whole.select("key", "blob", "plan", F.lit(None).cast("array<struct<seq: int, data: binary>>").alias("fetched"))
+    return alone.mapInArrow(_rebuild, FACTS).unionByName(filled.mapInArrow(_rebuild, FACTS))
 
 
 def store_media(docs: DataFrame) -> DataFrame:
