@@ -424,6 +424,20 @@ def test_secret_patterns_and_models(spark, docs):
         assert [s for s in secrets_scan.scan(d.text) if s[1] < 3] == sorted(base)
 
 
+def test_random_letters_and_short_keys_are_secrets():
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, n in ((letters, 32), (letters, 20), (letters + "0123456789+/", 17)):
+        keys = ["".join(r.choices(alphabet, k=n)) for _ in range(300)]
+        assert sum((2, 3, 2 + n) in secrets_scan_markov(f"a {k} b") for k in keys) > 240
+    for word in ("getUserAccountName", "internationalization", "configuration_default_value", "Lebensversicherungsgesellschaft", "1234567890123456"):
+        assert not secrets_scan_markov(f"a {word} b")
+
+
+def secrets_scan_markov(text):
+    return [x for x in secrets_scan.scan(text) if x[1] == 3]
+
+
 # 10
 
 

@@ -2,7 +2,7 @@
 
 Two first-order character chains are trained from labelled samples (random strings in the usual alphabets;
 ordinary identifiers and words).  A candidate token is a secret if the log-likelihood ratio a character
-exceeds a fixed threshold.  Added spans carry the kind markov and never replace those of the patterns.
+exceeds a threshold, a higher one for short tokens and those without a digit.  Added spans carry the kind markov and never replace those of the patterns.
 
 Cases: null and empty texts have no spans; repeated rows get equal rows; spans are in code points, end
 exclusive; very long texts are scanned whole; further columns are not read; an empty table gives no rows.
@@ -25,9 +25,11 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the Markov models judge: long tokens that hold a digit and a letter.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: What the Markov models judge: long tokens that hold a letter.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 THRESHOLD = 0.9
+#: Tokens under LONG characters or without a digit need STRICT / length more.
+LONG, STRICT = 20, 1.6
 _AT = {c: i + 1 for i, c in enumerate(string.ascii_letters + string.digits + "+/_=-")}
 #: The ordinary words that identifiers are made of.
 WORDS = """account action active address agent alpha answer apply archive array article asset author average backup balance
@@ -95,7 +97,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in TOKEN.finditer(text):
         token = m[0]
-        if re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token) and ratio(token) >= threshold:
+        sure = len(token) >= LONG and re.search(r"[0-9]", token)
+        if re.search(r"[A-Za-z]", token) and ratio(token) >= threshold + (0 if sure else STRICT / len(token)):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
