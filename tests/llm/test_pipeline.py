@@ -43,3 +43,11 @@ def test_stages_keep_the_columns(spark):
 def test_one_of_each_keeps_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z"), (3, None)], "doc_id long, text string")
     assert Counter(r.doc_id for r in jaccard_join.one_of_each(df).collect()) == {1: 1, None: 1, 3: 1}
+
+
+def test_one_of_each_by_id_and_text(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h  i j k l"), (None, "z z"), (None, "z  z"), (None, "y"), (4, near), (4, near + " x"), (None, near)]
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    near_kept = [x for x in got if x[0] == 4]
+    assert len(near_kept) == 1 and got == Counter([(1, "a b c d e f"), (1, "g h i j k l"), (None, "z  z"), (None, "y"), *near_kept])

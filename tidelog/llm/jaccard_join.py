@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, slices, text_or_empty
 from .grams import Batch, U
@@ -275,8 +276,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links and n_copies (documents with the same words)."""
+def _named(docs: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every document, and (key, rep, n_copies, class, n_links) of every distinct text."""
     rows = cut(signed(docs))
     sigs = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig")))
     hashed = F.array(*(F.xxhash64(F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS), F.lit(i)) for i in range(BANDS)))
@@ -290,13 +291,32 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> D
     classes = components(found.filter("right is not null").select("left", "right"))
     degree = found.filter("right is null").groupBy(F.col("left").alias("key")).agg(F.sum("n").alias("n_links"))
     named = cut(sigs.select("key", "rep", "n_copies").join(classes, "key", "left").join(degree, "key", "left").select("key", "rep", "n_copies", F.coalesce("class", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return rows, named
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links and n_copies (documents with the same words)."""
+    rows, named = _named(docs, threshold, block)
     # read back, so that both sides of the join below are shuffled for it and a large class can be split
     least = cut(named.groupBy("class").agg(F.min("rep").alias("class_id")))
     return rows.select("doc_id", "key").join(named.join(least, "class"), "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, with one of each class: the row of its least doc_id, one only if that repeats."""
-    classes = join(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """The documents, all columns, with one of each class: of its least doc_id (null only if it has no other), then text key, then row."""
+    _, named = _named(docs, threshold, BLOCK)
+    # of each class, the text to keep and its doc_id, null as 0 beside a mark
+    best = F.min(F.struct(F.col("rep").isNull().alias("no_id"), F.coalesce("rep", F.lit(0)).alias("id"), "key"))
+    chosen = named.groupBy("class").agg(best.alias("best")).select("best.key", "best.no_id", "best.id")
+    names = docs.columns
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([key_of(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["row", "key"])
+
+    row = F.struct(*(F.col(f"`{x}`") for x in names))
+    shape = docs.select(row.alias("row"), text_or_empty().alias("text"))
+    schema = StructType([shape.schema["row"], StructField("key", BinaryType())])
+    found = shape.mapInArrow(keyed, schema).select("key", F.col("row.doc_id").isNull().alias("no_id"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), "row")
+    kept = found.join(chosen, ["key", "no_id", "id"], "left_semi").groupBy("key", "no_id", "id").agg(F.min("row").alias("row"))
+    return kept.select(*(F.col(f"row.`{x}`") for x in names))
