@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 OPEN, CLOSE = "### ", " </turn>\n"
 
 
@@ -129,7 +131,7 @@ def format_chats(records: DataFrame) -> DataFrame:
             masks = pa.array([[{"start": a, "stop": z} for a, z in m] for _, m in done], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield pa.record_batch([b.column(0), pa.array([f for f, _ in done], pa.string()), masks, pa.array(map(fingerprint, rows), pa.string())], names=["conv_id", "formatted", "mask", "fingerprint"])
 
-    return records.select("conv_id", "record").mapInArrow(run, SCHEMA)
+    return in_arrow(records.select("conv_id", "record"), run, SCHEMA)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fingerprint string"
@@ -150,4 +152,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             types = [pa.string() if "string" in x else pa.int64() for x in DIGESTS.split(", ")]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return formatted.mapInArrow(run, DIGESTS)
+    return in_arrow(formatted, run, DIGESTS)

@@ -21,15 +21,30 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """The folder that all executors share; where none is named, one of our own if there is one machine only (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidelog-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidelog-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Rows that a Python worker is handed at once; texts of some KB make that a few MB, on both sides.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow over small record batches.  The batch size is the session's; larger ones would hold tens of MB of text
+    several times over in each worker."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder, so that a lost executor costs one step only."""
     shared_folder(df.sparkSession)

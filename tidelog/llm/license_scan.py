@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import slices, text_or_empty
+from .common import in_arrow, slices, text_or_empty
 from .grams import LETTERS, Batch
 
 K = 3
@@ -100,7 +100,7 @@ def base_scan(docs: DataFrame) -> DataFrame:
             ints = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
             yield pa.record_batch([b.column(0), b.column(1), *ints, pa.array([r[4] for r in rows], pa.string())], names=[c.split()[0] for c in BASE.split(", ")])
 
-    return docs.mapInArrow(run, BASE)
+    return in_arrow(docs, run, BASE)
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def windows(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths) if lengths else np.zeros(0)))).astype(np.int32)
             yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "row_key", "hashes"])
 
-    listed = docs.mapInArrow(run, "doc_id long, row_key long, hashes array<long>")
+    listed = in_arrow(docs, run, "doc_id long, row_key long, hashes array<long>")
     return listed.select("doc_id", "row_key", F.posexplode("hashes").alias("at", "hash"))
 
 

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 SPACE = "▁".encode()
 
 
@@ -154,4 +156,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             types = [pa.int64(), pa.int64(), *[pa.string()] * 3]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)

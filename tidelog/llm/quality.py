@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, slices
+from .common import in_arrow, least_hashed, slices
 from .grams import Batch, U, mix
 
 LEAST_WORDS = 50
@@ -201,7 +201,7 @@ def rate(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> Da
             columns = [b.column(0), *(pa.array(f[k].astype(np.int64)) for k in FEATURES), *(pa.array(f[k].astype(bool)) for k in ("base_failed", "kept")), pa.array(f["probability"].astype(float))]
             yield pa.record_batch(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)
 
 
 def keep(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -213,4 +213,4 @@ def keep(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> Da
         for b in batches:
             yield b.filter(pa.array(judge(b.column(at).to_pylist(), held.value, keep_from)["kept"].astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

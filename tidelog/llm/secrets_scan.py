@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 KINDS = ("assign", "access", "hex", "markov")
 #: The patterns of the base scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -132,7 +134,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             types = [pa.string() if "string" in x else pa.int64() for x in SCHEMA.split(", ")]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,4 +151,4 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 columns[k] = pa.array([old if t is None else len(t) for t, old in zip(texts, b.column(k).to_pylist(), strict=True)], b.column(k).type)
             yield pa.record_batch(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

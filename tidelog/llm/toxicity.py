@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, slices
+from .common import in_arrow, least_hashed, slices
 from .grams import LETTERS, U, Batch, mix
 from .quality import _sigmoid, calibrate
 
@@ -177,4 +177,4 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out = [zlib.crc32(b"" if d is None else str(d).encode()) % 4 == 2 for d in b.column(0).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, SCHEMA)
