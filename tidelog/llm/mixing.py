@@ -3,13 +3,15 @@
 Targets: a share of all words dealt to sources by weight, a source's target stopping at a multiple of
 its size and the excess going to the others by weight until none is above.  Equal blocks of words are
 then apportioned to sources by highest quotients (target / 1, 3, 5, ...), the same way from a source to
-its shards (documents dealt by a seeded hash), and inside a shard the quota is taken as whole passes
+groups of FAN shards and from these to the shards (documents dealt by a seeded hash; as many as the source's
+words ask for), and inside a shard the quota is taken as whole passes
 plus a seeded, evenly spaced choice of blocks over a seeded order.  Every step is closed arithmetic on
 aggregates, so no block is ever a row.
 
-Cases: null text has size 0; null source is a source of its own, last; an empty table gives no rows;
-repeated rows are separate rows with equal results only in size, as each takes its own place in the
-order; ties in the seeded order fall to doc_id and then size; further input columns are not read.
+Cases: null text has size 0; null source is a source of its own, last; null ids are dealt by their texts; an
+empty table gives no rows; repeated rows are separate rows with equal results only in size, as each takes its
+own place in the order; ties in the seeded order fall to doc_id, size and then the text's hash; a very long
+text fills a shard and counts whole; further input columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from .common import WORD, cut, text_or_empty
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
 SHARD_WORDS = 250_000
-MOST_SHARDS = 4096
+#: Shards of a source that share a quota of their own, so that no window holds all shards of a source.
+FAN = 1024
 #: Copies of each source's row, so that a source with a third of all documents is joined in many tasks.
 SALTS = 64
 SEED = "mix-1"
@@ -77,24 +80,29 @@ def apportion(df: DataFrame, within: list[str], share: str, seats: Column, order
     return picks.withColumn("_won", won).groupBy(*keys, "_sure").agg(F.sum(F.col("_won").cast("long")).alias("_more")).withColumn("quota", F.col("_sure") + F.col("_more")).drop("_sure", "_more")
 
 
-def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target and taken: the words of each document that the mix takes, repeats counted."""
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")))
+def _named(name: str = "doc_id") -> Column:
+    """What a row's hashes are made of: its doc_id, or for a null one its text, so that null ids do not meet."""
+    return F.coalesce(F.col(name).cast("string"), F.concat(F.lit("t"), F.md5(text_or_empty())))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), _named().alias("name"), F.xxhash64("text").alias("tie"), *more)
+
+
+def _source_id() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+
+
+def plan(sizes: DataFrame, share_percent: int = 150, most: int = 2, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(_id, shards, source_size, target) of the sources and (_id, shard, n, passes, rest, turn) of their shards."""
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), share_percent, most)
     blocks = F.ceil(F.sum("target").over(W.partitionBy()) / block)
     sources = apportion(sources, [], "target", blocks, [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "source_quota")
-    sources = sources.withColumn("shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))).withColumn("_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    sources = cut(sources)
-    dealt = (
-        sizes.withColumn("_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-        .withColumn("key", _hash32(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .withColumn("_salt", F.col("key") % SALTS)
-        .drop("source")
-        .join(sources.select("_id", "shards", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")), ["_id", "_salt"])
-        .withColumn("shard", F.col("key") % F.col("shards"))
-    )
-    shards = dealt.groupBy("_id", "shard").agg(F.sum("size").alias("shard_size")).join(sources.select("_id", "source_quota"), "_id")
-    shards = apportion(shards, ["_id"], "shard_size", F.col("source_quota"), [F.col("shard")])
+    sources = cut(sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).withColumn("_id", _source_id()).drop("source"))
+    shards = cut(_dealt(sizes, sources).groupBy("_id", "shard").agg(F.sum("size").alias("shard_size")).withColumn("group", F.floor(F.col("shard") / fan)))
+    groups = shards.groupBy("_id", "group").agg(F.sum("shard_size").alias("group_size")).join(F.broadcast(sources.select("_id", "source_quota")), "_id")
+    groups = apportion(groups, ["_id"], "group_size", F.col("source_quota"), [F.col("group")]).select("_id", "group", F.col("quota").alias("group_quota"))
+    shards = apportion(shards.join(groups, ["_id", "group"]), ["_id", "group"], "shard_size", F.col("group_quota"), [F.col("shard")])
     n = F.ceil(F.col("shard_size") / block)
     shards = (
         shards.withColumn("n", n)
@@ -104,9 +112,22 @@ def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = B
         .withColumn("turn", F.when(F.col("n") > 0, _hash32(F.lit("turn"), F.col("_id"), F.col("shard").cast("string")) % F.col("n")).otherwise(0))
         .select("_id", "shard", "n", "passes", "rest", "turn")
     )
-    order = W.partitionBy("_id", "shard").orderBy("spot", F.col("doc_id").asc_nulls_last(), "size")
+    return sources, shards
+
+
+def _dealt(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's facts and their shard."""
+    keyed = sizes.withColumn("_id", _source_id()).withColumn("key", _hash32(F.lit("doc"), F.col("name"))).withColumn("_salt", F.col("key") % SALTS).drop("source")
+    salted = sources.select("_id", "shards", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    return keyed.join(salted, ["_id", "_salt"]).withColumn("shard", F.col("key") % F.col("shards"))
+
+
+def _placed(sizes: DataFrame, sources: DataFrame, shards: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The rows with taken: their words in the chosen blocks of their shard's seeded order."""
+    order = W.partitionBy("_id", "shard").orderBy("spot", F.col("doc_id").asc_nulls_last(), "size", "tie")
     placed = (
-        dealt.withColumn("spot", _hash32(F.lit("spot"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        _dealt(sizes, sources)
+        .withColumn("spot", _hash32(F.lit("spot"), F.col("name")))
         .withColumn("stop", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("from", F.col("stop") - F.col("size"))
         .join(shards, ["_id", "shard"])
@@ -119,16 +140,26 @@ def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = B
         return chosen(b) * block + (at - b * block) * (chosen(b + 1) - chosen(b))
 
     taken = F.when(F.col("n") > 0, F.col("passes") * F.col("size") + before(F.col("stop")) - before(F.col("from"))).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return placed.withColumn("taken", taken.cast("long"))
+
+
+def mix(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, fan: int = FAN) -> DataFrame:
+    """doc_id, size, source_size, target and taken: the words of each document that the mix takes, repeats counted."""
+    sizes = cut(_sized(docs))
+    placed = _placed(sizes, *plan(sizes, share_percent, most, block, shard_words, fan), block)
+    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+
 
+def remixed(docs: DataFrame, share_percent: int = 150, most: int = 2, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, fan: int = FAN) -> DataFrame:
+    """The documents, all columns whatever their names, each row as often as the mix takes it: taken / size times, the
+    fraction rounded by a seeded hash, so that a source's words come near its target.
 
-def remixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, each as often as the mix takes it: taken / size times, the fraction rounded by a
-    seeded hash, so that a source's words come near its target.  Documents without words are taken never."""
-    taken = mix(docs, **how)
+    Null ids, repeated rows and ties are placed as rows of their own; rows without words are taken never; texts of any
+    length travel once, with their row; no rows, no mix."""
+    plans = plan(cut(_sized(docs)), share_percent, most, block, shard_words, fan)
+    names = docs.columns
+    placed = _placed(_sized(docs, F.struct(*(F.col(f"`{x}`") for x in names)).alias("row")), *plans, block)
     part = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
-    times = F.floor(part + _hash32(F.lit("round"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**32)).cast("int")
-    counts = taken.select("doc_id", "size", times.alias("_times")).filter("_times > 0").dropDuplicates(["doc_id", "size"])
-    keyed = docs.withColumn("_size", word_count()).alias("d")
-    joined = keyed.join(counts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._size") == F.col("c.size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    times = F.floor(part + _hash32(F.lit("round"), F.col("name")) / F.lit(2.0**32)).cast("int")
+    copies = placed.select("row", times.alias("times")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*(F.col(f"row.`{x}`") for x in names))

@@ -1,6 +1,6 @@
 """The mix as SQL for another engine; the parameters are those of mixing."""
 
-from .mixing import BLOCK_WORDS, MOST_SHARDS, SEED, SHARD_WORDS, WEIGHTS
+from .mixing import BLOCK_WORDS, FAN, SEED, SHARD_WORDS, WEIGHTS
 
 
 def _hash(*parts: str) -> str:
@@ -28,7 +28,7 @@ _before = lambda at: (
 
 MIX_SQL = (
     f"""
-WITH s AS (SELECT doc_id, coalesce('s' || source, '') AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))) AS name, coalesce('s' || source, '') AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT id, source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY id, source),
 w AS (SELECT *, {_weight} AS weight, 2 * source_size AS cap FROM t),
 l AS (SELECT *, CAST(sum(source_size) OVER () * 150 - 100 * coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
@@ -36,10 +36,14 @@ l AS (SELECT *, CAST(sum(source_size) OVER () * 150 - 100 * coalesce(sum(cap) OV
 g AS (SELECT id, source, source_size, CASE WHEN level * weight >= cap THEN CAST(cap AS DOUBLE) ELSE (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight < cap) * weight END AS target FROM l),"""
     + _apportion("q", "g", "", "target", f"ceil(sum(target) OVER () / {BLOCK_WORDS})", "source NULLS LAST", "id, source, source_size, target")
     + f""",
-src AS (SELECT *, CAST(least({MOST_SHARDS}, greatest(1, ceil(source_size / {SHARD_WORDS}))) AS BIGINT) AS shards FROM q),
-d AS (SELECT s.doc_id, s.size, src.id, source_size, target, src.quota AS source_quota, {_hash("'doc'", "coalesce(CAST(s.doc_id AS VARCHAR), '')")} % shards AS shard, {_hash("'spot'", "coalesce(CAST(s.doc_id AS VARCHAR), '')")} AS spot FROM s JOIN src ON s.id = src.id),
-h AS (SELECT id, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_quota) AS source_quota FROM d GROUP BY id, shard),"""
-    + _apportion("hq", "h", "id", "shard_size", "source_quota", "shard", "id, shard, shard_size, source_quota")
+src AS (SELECT *, CAST(greatest(1, ceil(source_size / {SHARD_WORDS})) AS BIGINT) AS shards FROM q),
+d AS (SELECT s.doc_id, s.size, src.id, source_size, target, src.quota AS source_quota, {_hash("'doc'", "s.name")} % shards AS shard, {_hash("'spot'", "s.name")} AS spot FROM s JOIN src ON s.id = src.id),
+h AS (SELECT id, shard, CAST(floor(shard / {FAN}) AS BIGINT) AS grp, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_quota) AS source_quota FROM d GROUP BY id, shard),
+u AS (SELECT id, grp, CAST(sum(shard_size) AS BIGINT) AS group_size, any_value(source_quota) AS source_quota FROM h GROUP BY id, grp),"""
+    + _apportion("uq", "u", "id", "group_size", "source_quota", "grp", "id, grp, group_size, source_quota")
+    + """,
+hu AS (SELECT h.id, h.shard, h.grp, h.shard_size, uq.quota AS group_quota FROM h JOIN uq ON h.id = uq.id AND h.grp = uq.grp),"""
+    + _apportion("hq", "hu", "id, grp", "shard_size", "group_quota", "shard", "id, shard, grp, shard_size, group_quota")
     + f""",
 hn AS (SELECT id, shard, CAST(ceil(shard_size / {BLOCK_WORDS}) AS BIGINT) AS n, quota FROM hq),
 hp AS (SELECT id, shard, n, CASE WHEN n > 0 THEN CAST(floor(least(quota, n * 2) / n) AS BIGINT) ELSE 0 END AS passes, least(quota, n * 2) AS q2 FROM hn),
