@@ -1,15 +1,18 @@
 """Media columns: content-defined chunks, deduplicated by Spark joins, and rebuilt from ordered chunk lists.
 
 A payload is stored as mono 8-bit PCM (WAV).  A rolling gear hash over the stored bytes cuts chunks where its top
-bits are zero, so equal passages give equal chunks wherever they stand.  Chunk digests are grouped; a digest held by
-several media has one owner (the least media digest and place), whose bytes are the store's copy.  A medium keeps only
-the chunks that it owns or that nobody shares; the others come from the store by a join on the digest.  Rebuilt
-media are verified chunk by chunk and as a whole before anything is read from them.
-
-Equal texts are one medium (its digest is the key), so copies never multiply bytes.  Bytes travel compressed, once.
-
-Cases: null and empty texts are 64 zero bytes; repeated rows each get a row; a chunk repeated inside one medium
-is shared with itself; very long texts are chunked whole; further columns are not read; no rows, no media.
+bits are zero, so equal passages give equal chunks wherever they stand.  What is kept is two tables: the chunk store, each
+chunk once by its digest, and each medium's ordered list of digests; no medium is kept whole.  Media come back by a
+join of the lists with the store, and are verified chunk by chunk and as a whole before anything is read from them.
+
+Equal texts are one medium (its digest is the key), so copies never multiply bytes.  A medium of one chunk has the
+chunk's digest as its key, so its bytes need no second way.  A chunk that more than HOT lists name is joined in several
+copies, dealt by medium.  Chunks travel compressed.
+
+Cases: null and empty texts are 64 zero bytes; repeated rows each get a row with equal values; a chunk repeated inside
+one medium is in the store once; very long texts are chunked whole (a string of Spark's is under 2 GiB, which the WAV
+size field holds); ties need no rule, as equal digests are equal bytes; no rows, no media; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import cut, in_arrow, slices, text_or_empty
 
 UNIT = 64
 LEAST, MOST, CUT_BITS = 1024, 32_768, 12
@@ -49,10 +52,6 @@ def read(medium: bytes) -> bytes:
     return medium[44:]
 
 
-def medium_of(text: str) -> bytes:
-    return store(payload_of(text.encode()))
-
-
 def feature(payload: bytes) -> str:
     """Which of 64 equal stretches lie above the median loudness, and the mean sample."""
     mean = np.frombuffer(payload, np.uint8).reshape(UNIT, -1).mean(axis=1)
@@ -98,116 +97,100 @@ def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
+#: A digest of more references is joined in one copy for each so many.
+HOT = 1000
+#: Compressed bytes that a task gathers before it hands them on.
+HELD = 8 << 20
+
+
+def _chunks(media: dict[bytes, bytes]):
+    """(key, number of chunks, seq, digest, bytes) of distinct media."""
+    for (key, m), ends in zip(media.items(), cuts(list(media.values())), strict=True):
+        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            yield key, len(ends), i, key if len(ends) == 1 else digest(m[a:z]), m[a:z]
+
+
+def _media(b: pa.RecordBatch):
+    """The distinct media of a record batch, some at a time."""
+    raw = [t.encode() for t in b.column(0).to_pylist()]
+    for a, z in slices(raw):
+        yield {digest(m): m for m in (store(payload_of(x)) for x in raw[a:z])}
+
+
 def chunk_lists(texts: DataFrame) -> DataFrame:
-    """(key, seq, digest, start, stop): the ordered chunks of each medium."""
+    """(key, n, seq, digest): the ordered chunks of each medium, n in all; a medium once."""
 
     def run(batches):
         for b in batches:
-            media = [medium_of(t) for t in b.column(0).to_pylist()]
-            rows = []
-            for m, ends in zip(media, cuts(media), strict=True):
-                key, at = digest(m), 0
-                for i, end in enumerate(ends):
-                    rows.append((key, i, digest(m[at:end]), at, end))
-                    at = end
-            yield _batch(rows, [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()], ["key", "seq", "digest", "start", "stop"])
+            for media in _media(b):
+                yield _batch([x[:4] for x in _chunks(media)], [pa.binary(), pa.int32(), pa.int32(), pa.binary()], ["key", "n", "seq", "digest"])
 
-    return texts.select("text").mapInArrow(run, "key binary, seq int, digest binary, start long, stop long")
+    return in_arrow(texts.select("text"), run, "key binary, n int, seq int, digest binary").distinct()
 
 
-def packed(texts: DataFrame) -> DataFrame:
-    """(key, blob): each distinct medium once, compressed for the way."""
+def chunk_store(texts: DataFrame) -> DataFrame:
+    """(digest, data): each distinct chunk once, compressed."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            media = {digest(m): m for m in map(medium_of, b.column(0).to_pylist())}
-            yield _batch([(k, z.compress(m)) for k, m in media.items()], [pa.binary(), pa.binary()], ["key", "blob"])
+            rows: dict[bytes, bytes] = {}
+            size = 0
+            for media in _media(b):
+                for _, _, _, d, data in _chunks(media):
+                    if d not in rows:
+                        rows[d] = z.compress(data)
+                        size += len(rows[d])
+                if size > HELD:
+                    yield _batch(list(rows.items()), [pa.binary(), pa.binary()], ["digest", "data"])
+                    rows, size = {}, 0
+            yield _batch(list(rows.items()), [pa.binary(), pa.binary()], ["digest", "data"])
 
-    return texts.select("text").mapInArrow(run, "key binary, blob binary").filter("key is not null").dropDuplicates(["key"])
+    return in_arrow(texts.select("text"), run, "digest binary, data binary").dropDuplicates(["digest"])
 
 
-FACTS = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_fetched int"
+FACTS = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
 
 
 def _rebuild(batches):
-    """From each medium's own chunks and those fetched from the store; verified before it is read."""
+    """Facts of media from their chunks (seq, digest, data); verified before they are read."""
     unz = zstandard.ZstdDecompressor()
     names = [x.split()[0] for x in FACTS.split(", ")]
     types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
     for b in batches:
         rows = []
-        for key, blob, plan, fetched in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            kept, used = unz.decompress(blob), 0
-            away = {c["seq"]: c for c in plan or () if not c["own"]}
-            came = {c["seq"]: unz.decompress(c["data"]) for c in fetched or ()}
-            if away.keys() != came.keys():
+        for key, n, chunks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            chunks = sorted(chunks, key=lambda c: c["seq"])
+            if [c["seq"] for c in chunks] != list(range(n)):
                 raise ValueError("chunks are missing from the store")
-            out, at = [], 0
-            for seq in sorted(away):
-                c = away[seq]
-                if digest(came[seq]) != c["digest"]:
-                    raise ValueError("a chunk differs from its digest")
-                out += [kept[used : used + c["start"] - at], came[seq]]
-                used, at = used + c["start"] - at, c["stop"]
-            medium = b"".join([*out, kept[used:]])
-            if digest(medium) != key:
+            parts = [unz.decompress(c["data"]) for c in chunks]
+            if any(digest(x) != c["digest"] for x, c in zip(parts, chunks, strict=True)):
+                raise ValueError("a chunk differs from its digest")
+            medium = b"".join(parts)
+            if n > 1 and digest(medium) != key:
                 raise ValueError("a medium differs from its digest")
             payload = read(medium)
-            rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(payload), len(came)))
+            rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(payload), n))
         yield _batch(rows, types, names)
 
 
-def _strip(batches):
-    """(key, blob, plan): the blob without the chunks that come from the store."""
-    z, unz = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
-    for b in batches:
-        blobs = []
-        for blob, plan in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            away = sorted((c["start"], c["stop"]) for c in plan or () if not c["own"])
-            if away:
-                medium, ends = unz.decompress(blob), [0, *(x for c in away for x in c)]
-                blob = z.compress(b"".join(medium[i:j] for i, j in zip(ends[::2], [*ends[1::2], len(medium)], strict=True)))
-            blobs.append(blob)
-        yield pa.record_batch([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["key", "blob", "plan"])
-
-
-def _publish(batches):
-    """(digest, data) of the chunks that a medium owns for others."""
-    z, unz = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
-    for b in batches:
-        rows = []
-        for blob, plan in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            kept, gone = unz.decompress(blob), 0
-            for c in sorted(plan, key=lambda c: c["start"]):
-                if c["own"]:
-                    rows.append((c["digest"], z.compress(kept[c["start"] - gone : c["stop"] - gone])))
-                else:
-                    gone += c["stop"] - c["start"]
-        yield _batch(rows, [pa.binary(), pa.binary()], ["digest", "data"])
-
-
-def stored(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, blob, plan) of the distinct media that are whole, of the others without the chunks owned elsewhere, and (key, seq, digest) of those chunks."""
-    chunks = chunk_lists(texts).distinct()
-    place = F.struct("key", "seq")
-    shared = chunks.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner <> other").select("digest", "owner")
-    refs = chunks.join(shared, "digest").withColumn("own", F.struct("key", "seq") == F.col("owner")).drop("owner")
-    plans = refs.groupBy("key").agg(F.collect_list(F.struct("seq", "digest", "start", "stop", "own")).alias("plan"))
-    whole = packed(texts).join(plans, "key", "left")
-    lacks = F.coalesce(F.exists("plan", lambda c: ~c["own"]), F.lit(False))
-    stripped = whole.filter(lacks).mapInArrow(_strip, "key binary, blob binary, plan array<struct<seq: int, digest: binary, start: bigint, stop: bigint, own: boolean>>")
-    return whole.filter(~lacks), stripped, refs.filter("not own").select("key", "seq", "digest")
+def joined(lists: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, n, seq, digest, data) of every reference of lists; a digest of many is dealt to copies of its chunk."""
+    hot = cut(lists.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT).select("digest", F.ceil(F.col("times") / HOT).alias("copies")))
+    columns = ["key", "n", "seq", "digest", "data"]
+    cold = lists.join(hot, "digest", "left_anti").join(held, "digest").select(columns)
+    salted = lists.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("copies")))
+    copied = held.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    return cold if hot.isEmpty() else cold.unionByName(salted.join(copied, ["digest", "salt"]).select(columns))
 
 
 def rebuilt(texts: DataFrame) -> DataFrame:
     """Facts of every distinct medium, read from its rebuilt form."""
-    whole, stripped, away = stored(texts)
-    owned = whole.unionByName(stripped).filter(F.exists("plan", lambda c: c["own"])).select("blob", "plan").mapInArrow(_publish, "digest binary, data binary")
-    fetched = away.join(owned, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
-    filled = stripped.join(fetched, "key", "left").select("key", "blob", "plan", "fetched")
-    alone = whole.select("key", "blob", "plan", F.lit(None).cast("array<struct<seq: int, data: binary>>").alias("fetched"))
-    return alone.mapInArrow(_rebuild, FACTS).unionByName(filled.mapInArrow(_rebuild, FACTS))
+    lists, held = cut(chunk_lists(texts)), chunk_store(texts)
+    chunk = F.struct("seq", "digest", "data")
+    single = lists.filter("n = 1").join(held, "digest").select("key", "n", F.array(chunk).alias("chunks"))
+    several = joined(lists.filter("n > 1"), held).groupBy("key", "n").agg(F.collect_list(chunk).alias("chunks"))
+    return in_arrow(single, _rebuild, FACTS).unionByName(in_arrow(several, _rebuild, FACTS))
 
 
 def store_media(docs: DataFrame) -> DataFrame:
@@ -219,6 +202,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             raw = [t.encode() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([digest(store(payload_of(x))) for x in raw], pa.binary()), pa.array(map(len, raw), pa.int64())], names=["doc_id", "key", "n_bytes"])
 
-    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(keyed, "doc_id long, key binary, n_bytes long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    listed = in_arrow(rows, keyed, "doc_id long, key binary, n_bytes long")
     facts = [x.split()[0] for x in FACTS.split(", ")][1:]
     return listed.join(rebuilt(texts), "key").select("doc_id", "n_bytes", *facts)
