@@ -6,9 +6,13 @@ first band that it shares.  Their MinHash values are compared step by step, and
 posterior probability (uniform prior) of reaching the threshold falls below TOLERANCE.  What is left is verified exactly
 on the shingle sets.
 
-A band's members are dealt to blocks of about BLOCK texts and compared block by block inside tasks; a block gives its
-members' link counts and a spanning forest of its links, never its pairs, so rows stay in proportion to members.
-Classes are the connected components of all links.
+A band's members are one block up to BLOCK_BYTES of shingles and signatures; they travel once and are compared inside one
+task, TILE by TILE.  More are dealt to blocks of about that size; a block is packed into one compressed row (near copies
+shrink by much), and only these rows are repeated, once for each block that they meet.  So rows are in proportion to
+members, but for one row a pair of blocks; comparisons still grow with the square of a class of near copies, as n_links
+is exact.  A task gives its members' link counts and ties each to the least key
+that it is linked with, directly or over others; it never gives its pairs.  Classes are the
+connected components of all links.
 
 Bands of 4 values, 20 of them, miss a pair of similarity 0.8 with probability 3e-5, of 0.9 with 3e-10; nothing
 else is approximate, and no partner or candidate is capped.
@@ -16,7 +20,8 @@ else is approximate, and no partner or candidate is capped.
 n_links counts the other texts that a text is similar to.
 
 Cases: null and empty texts share one class without links; repeated rows are copies; ties at the threshold are links;
-a null doc_id is kept as a row and names a class only if it has no other; further columns are not read.
+a very long text is a block of its own size and is compared whole; a null doc_id is kept as a row and names a class only
+if it has no other; no rows, no classes; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,18 +32,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, slices, text_or_empty
+from .common import cut, in_arrow, slices, text_or_empty
 from .grams import Batch, U
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 STEP = 16
-BLOCK = 256
+#: Of a band's members: eight bytes a shingle and MEMBER_BYTES each are one block up to so many.
+BLOCK_BYTES, MEMBER_BYTES = 16 << 20, 1024
+TILE = 256
 TOLERANCE = 1e-6
 HASHES = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -77,7 +83,13 @@ def shingle_set(raw: bytes) -> np.ndarray:
 
 def key_of(raw: bytes) -> bytes:
     """Texts with the same words in the same order have the same key."""
-    return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
+    return hashlib.sha256(b" ".join(raw.split())).digest()[:16]
+
+
+def key_column(name: str = "text") -> Column:
+    """key_of() as a column, for rows that need not leave the JVM; never null, so that joins evaluate it once."""
+    words = F.trim(F.regexp_replace(text_or_empty(name), r"[\x20\x09-\x0D]+", " "))
+    return F.coalesce(F.unhex(F.substring(F.sha2(words.cast("binary"), 256), 1, 32)), F.lit(b""))
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = HASHES, step: int = STEP) -> list[tuple[int, int]]:
@@ -103,11 +115,10 @@ def hopeful(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]])
     return keep
 
 
-def candidates(sigs: np.ndarray, blocks: np.ndarray, band: int, first: int, second: int, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs (positions) of one group: between its two blocks, or inside its one block."""
-    x, y = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+def candidates(sigs: np.ndarray, x: np.ndarray, y: np.ndarray, band: int, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs (positions) between two tiles of a group, or inside one tile."""
     left, right = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
-    if first == second:
+    if x is y:
         left, right = left[left < right], right[left < right]
     parts = sigs.reshape(len(sigs), BANDS, ROWS)
     for k in range(band):  # an earlier band has the pair
@@ -119,6 +130,16 @@ def candidates(sigs: np.ndarray, blocks: np.ndarray, band: int, first: int, seco
     return left[keep], right[keep]
 
 
+def tiles(first: np.ndarray, second: np.ndarray | None):
+    """Pairs of tiles inside one block, or between two."""
+    cut_up = lambda z: [z[i : i + TILE] for i in range(0, len(z), TILE)]
+    rows = cut_up(first)
+    if second is None:
+        yield from ((x, y) for i, x in enumerate(rows) for y in rows[i:])
+    else:
+        yield from ((x, y) for x in rows for y in cut_up(second))
+
+
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Exact test of pairs; many pairs of few texts are counted by a product of membership matrices."""
     size = np.array([len(x) for x in sets])
@@ -162,32 +183,68 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
     return out
 
 
+def stars(keys: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[bytes, bytes, int]]:
+    """(least key, other key, 0) of what the links tie together, so that the least key is every other one's neighbour."""
+    up = list(range(len(keys)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        i, j = root(i), root(j)
+        if keys[i] > keys[j]:
+            i, j = j, i
+        up[j] = i
+    return [(keys[r], keys[i], 0) for i in range(len(keys)) if (r := root(i)) != i]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of every document."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([key_of(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "key"])
+
+    return in_arrow(_texts(docs), run, "doc_id long, key binary")
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig) of every document."""
+    """(doc_id, key, sig, n) of every document; n: its shingles, repeats counted."""
 
     def run(batches):
         for b in batches:
-            raw, sigs = [t.encode() for t in b.column(1).to_pylist()], []
+            raw, sigs, n = [t.encode() for t in b.column(1).to_pylist()], [], []
             for a, z in slices(raw):
-                sigs += signatures(Batch(raw[a:z]))
-            yield pa.record_batch([b.column(0), pa.array(map(key_of, raw), pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "sig"])
+                x = Batch(raw[a:z])
+                sigs += signatures(x)
+                n += np.maximum(x.n_words - SHINGLE + 1, np.minimum(x.n_words, 1)).tolist()
+            yield pa.record_batch([b.column(0), pa.array(map(key_of, raw), pa.binary()), pa.array(sigs, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "key", "sig", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, key binary, sig binary")
+    return in_arrow(_texts(docs), run, "doc_id long, key binary, sig binary, n long")
 
 
-GROUP = "band long, pos int, first int, second int, block int, key binary"
-_GROUP_NAMES = [x.split()[0] for x in GROUP.split(", ")]
+MEMBER = "band long, pos int, block int, blocks int, key binary"
+#: A block on its way: its members' keys and signatures one after the other, and their texts, length by length.
+PACKED = "band long, pos int, block int, blocks int, keys binary, sigs binary, texts binary"
+_names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
-def _groups(batches):
-    """Record batches of whole groups from batches sorted by (band, pos, first, second)."""
+def _groups(batches, by: int):
+    """Tables of whole groups from batches sorted by the first columns, so many as by."""
     rest: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        ids = np.stack([b.column(i).to_numpy() for i in range(4)])
+        ids = np.stack([b.column(i).to_numpy() for i in range(by)])
         edges = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-        if rest and any(rest[-1].column(i)[-1].as_py() != ids[i, 0] for i in range(4)):
+        if rest and any(rest[-1].column(i)[-1].as_py() != ids[i, 0] for i in range(by)):
             yield pa.Table.from_batches(rest)
             rest = []
         start = 0
@@ -199,67 +256,113 @@ def _groups(batches):
         yield pa.Table.from_batches(rest)
 
 
-def _read(g: pa.Table) -> tuple[int, int, int, np.ndarray, list[bytes], np.ndarray]:
-    pos, first, second = (g.column(i)[0].as_py() for i in (1, 2, 3))
-    sigs = np.frombuffer(b"".join(g.column(6).to_pylist()), "<u4").reshape(-1, HASHES)
-    return pos, first, second, g.column(4).to_numpy(), g.column(5).to_pylist(), sigs
-
-
-def _sorted(df: DataFrame) -> DataFrame:
-    by = ["band", "pos", "first", "second"]
-    return df.repartition(*by).sortWithinPartitions(*by)
-
-
-def _hopeful_members(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The rows of groups that have a surviving candidate in their group."""
+def _hopeful(pos: int, keys: list[bytes], sigs: np.ndarray, texts: list[bytes], split: int | None, needed: list[tuple[int, int]], threshold: float) -> list[tuple]:
+    """Of a block (of two, where the second starts at split): the members with a surviving candidate, as (key, null, 0)."""
+    alive = np.zeros(len(keys), bool)
+    at = np.arange(len(keys))
+    for x, y in tiles(at if split is None else at[:split], None if split is None else at[split:]):
+        for z in candidates(sigs, x, y, pos, needed):
+            alive[z] = True
+    return [(keys[i], None, 0) for i in np.flatnonzero(alive)]
+
+
+def _verified(pos: int, keys: list[bytes], sigs: np.ndarray, texts: list[bytes], split: int | None, needed: list[tuple[int, int]], threshold: float) -> list[tuple]:
+    """Of a block or two: (left, right, 0) that tie together what the links do, and (left, null, links) of the members with any."""
+    sets: list[np.ndarray | None] = [None] * len(keys)
+    links, lefts, rights = np.zeros(len(keys), np.int64), [], []
+    at = np.arange(len(keys))
+    for x, y in tiles(at if split is None else at[:split], None if split is None else at[split:]):
+        left, right = candidates(sigs, x, y, pos, needed)
+        if not len(left):
+            continue
+        own, back = np.unique(np.concatenate((left, right)), return_inverse=True)
+        for i in own:
+            if sets[i] is None:
+                sets[i] = shingle_set(texts[i])
+        hit = similar([sets[i] for i in own], back[: len(left)], back[len(left) :], threshold)
+        left, right = left[hit], right[hit]
+        links += np.bincount(np.concatenate((left, right)), minlength=len(keys))
+        tie = forest(len(own), *(np.searchsorted(own, z) for z in (left, right)))
+        lefts.append(left[tie])
+        rights.append(right[tie])
+    if not lefts:
+        return []
+    return stars(keys, np.concatenate(lefts), np.concatenate(rights)) + [(keys[i], None, int(links[i])) for i in np.flatnonzero(links)]
+
+
+def _compared(full: DataFrame, what, threshold: float) -> DataFrame:
+    """what() of every block, and of every two blocks of a band; full: MEMBER with sig and packed (a text, may be null).
+
+    Gives (band, pos, block, blocks, left, right, n); the last of two blocks' columns are those of left's block."""
     needed = least_matches(threshold)
+    out = "band long, pos int, block int, blocks int, left binary, right binary, n long"
+
+    def answer(place: tuple[int, int, int], of: list[tuple[int, int]], rows: list[tuple]) -> pa.RecordBatch:
+        """place: band, pos, blocks; of: (first position, block) of the keys, by key where there are two."""
+        band, pos, blocks = place
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array([(band, pos, of[r[0]], blocks, *r)[i] for r in rows], k) for i, k in enumerate(kinds)], names=_names(out))
+
+    def sig_rows(parts: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(parts), "<u4").reshape(-1, HASHES)
+
+    def alone(batches):
+        """Answers of single blocks; of blocks that have others, the packed block besides."""
+        unz, long = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True))
+        for g in _groups(batches, 3):
+            band, pos, block, blocks = (g.column(i)[0].as_py() for i in range(4))
+            keys, parts = g.column(4).to_pylist(), g.column(5).to_pylist()
+            texts = [b"" if t is None else unz.decompress(t) for t in g.column(6).to_pylist()]
+            rows = what(pos, keys, sig_rows(parts), texts, None, needed, threshold)
+            b = answer((band, pos, blocks), dict.fromkeys(keys, block), rows)
+            packed = [None] * len(rows)
+            if blocks > 1:
+                sizes = np.array([len(t) for t in texts], "<u8").tobytes()
+                b = pa.concat_batches([b, pa.record_batch([pa.array([x], b.column(i).type) for i, x in enumerate((band, pos, block, blocks, b"".join(keys), b"".join(parts), len(keys)))], names=_names(out))])
+                packed.append(long.compress(sizes + b"".join(texts)))
+            if b.num_rows:
+                yield b.append_column("packed", pa.array(packed, pa.binary()))
+
+    def paired(batches):
+        unz = zstandard.ZstdDecompressor(max_window_size=1 << 27)
+        for g in _groups(batches, 4):
+            if g.num_rows < 2:  # the other block is not there
+                continue
+            band, pos = g.column(0)[0].as_py(), g.column(1)[0].as_py()
+            held = sorted(zip(*(g.column(i).to_pylist() for i in range(4, 9)), strict=True))
+            keys, texts = [], []
+            for _, _, ids, _, packed in held:
+                own = [ids[i : i + 16] for i in range(0, len(ids), 16)]
+                raw = unz.decompress(packed, max_output_size=0)
+                ends = np.cumsum(np.concatenate(([8 * len(own)], np.frombuffer(raw[: 8 * len(own)], "<u8")))).astype(np.int64).tolist()
+                keys.append(own)
+                texts += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+            rows = what(pos, keys[0] + keys[1], sig_rows([x[3] for x in held]), texts, len(keys[0]), needed, threshold)
+            of = {k: x[0] for x, own in zip(held, keys, strict=True) for k in own}
+            if rows:
+                yield answer((band, pos, held[0][1]), of, rows)
 
-    def run(batches):
-        out: list[pa.Table] = []
-        for g in _groups(batches):
-            pos, first, second, blocks, _, s = _read(g)
-            left, right = candidates(s, blocks, pos, first, second, needed)
-            if len(left):
-                out.append(g.take(np.union1d(left, right)).select(_GROUP_NAMES))
-            if len(out) >= 1000:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
-                out = []
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
-
-    return _sorted(members.join(sigs.select("key", "sig"), "key").select(*_GROUP_NAMES, "sig")).mapInArrow(run, GROUP)
+    by = ["band", "pos", "block"]
+    single = cut(in_arrow(full.select(*_names(MEMBER), "sig", "packed").repartition(*by).sortWithinPartitions(*by), alone, f"{out}, packed binary"))
+    answers, blocks = single.filter("packed is null").drop("packed"), single.filter("packed is not null")
+    two = ["band", "pos", "first", "second"]
+    other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+    pairs = other.select("band", "pos", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "blocks", F.col("left").alias("keys"), F.col("right").alias("sigs"), "packed")
+    return answers if blocks.isEmpty() else answers.unionByName(in_arrow(pairs.repartition(*two).sortWithinPartitions(*two), paired, out))
 
 
 def _links(members: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(left, right) of each group's forest, and (left, null, n) with a member's links in the group."""
-    needed = least_matches(threshold)
+    """(left, right, n): what ties each group's links together, and (left, null, n) with a member's links in the group."""
 
     def pack(batches):
         z = zstandard.ZstdCompressor()
         for b in batches:
-            raw = [t.encode() for t in b.column(0).to_pylist()]
+            raw = [t.encode() for t in b.column(1).to_pylist()]
             yield pa.record_batch([pa.array(map(key_of, raw), pa.binary()), pa.array(map(z.compress, raw), pa.binary())], names=["key", "packed"])
 
-    def run(batches):
-        unz = zstandard.ZstdDecompressor()
-        for g in _groups(batches):
-            pos, first, second, blocks, keys, s = _read(g)
-            left, right = candidates(s, blocks, pos, first, second, needed)
-            if not len(left):
-                continue
-            hit = similar([shingle_set(unz.decompress(x)) for x in g.column(7).to_pylist()], left, right, threshold)
-            left, right = left[hit], right[hit]
-            tie = forest(len(keys), left, right)
-            n = np.bincount(np.concatenate((left, right)), minlength=len(keys))
-            linked = np.flatnonzero(n).tolist()
-            rows = [(keys[left[k]], keys[right[k]], 0) for k in tie] + [(keys[i], None, int(n[i])) for i in linked]
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["left", "right", "n"])
-
     wanted = members.select("key").distinct()
-    texts = docs.select(text_or_empty().alias("text")).mapInArrow(pack, "key binary, packed binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    full = members.join(sigs.select("key", "sig"), "key").join(texts, "key").select(*_GROUP_NAMES, "sig", "packed")
-    return _sorted(full).mapInArrow(run, "left binary, right binary, n long")
+    texts = in_arrow(_texts(docs), pack, "key binary, packed binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return _compared(members.join(sigs.select("key", "sig"), "key").join(texts, "key"), _verified, threshold).select("left", "right", "n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,47 +379,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _named(docs: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every document, and (key, rep, n_copies, class, n_links) of every distinct text."""
-    rows = cut(signed(docs))
-    sigs = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig")))
+def members_of(sigs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """MEMBER: the texts of every band that two or more share, dealt to blocks."""
     hashed = F.array(*(F.xxhash64(F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS), F.lit(i)) for i in range(BANDS)))
-    bands = sigs.filter("sig is not null").select("key", F.posexplode(hashed).alias("pos", "band"))
-    held = bands.groupBy("band", "pos").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = bands.join(held, ["band", "pos"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = other.select("band", "pos", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "key")
-    alive = cut(_hopeful_members(members, sigs, threshold))
-    found = cut(_links(alive, sigs, docs, threshold))
+    bands = sigs.filter("sig is not null").select("key", (8 * F.col("n") + MEMBER_BYTES).alias("size"), F.posexplode(hashed).alias("pos", "band"))
+    # written, so that the join below can split a band of many members
+    held = cut(bands.groupBy("band", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter("n > 1").select("band", "pos", F.ceil(F.col("size") / block_bytes).cast("int").alias("blocks")))
+    return bands.drop("size").join(held, ["band", "pos"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select(*_names(MEMBER))
+
+
+def _named(docs: DataFrame, threshold: float, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every document, and (key, rep, n_copies, class, n_links) of every distinct text."""
+    sigs = cut(signed(docs).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+    members = members_of(sigs, block_bytes).join(sigs.select("key", "sig"), "key").withColumn("packed", F.lit(None).cast("binary"))
+    alive = _compared(members, _hopeful, threshold).select("band", "pos", "block", "blocks", F.col("left").alias("key")).distinct()
+    found = _links(alive, sigs, docs, threshold)
     classes = components(found.filter("right is not null").select("left", "right"))
     degree = found.filter("right is null").groupBy(F.col("left").alias("key")).agg(F.sum("n").alias("n_links"))
     named = cut(sigs.select("key", "rep", "n_copies").join(classes, "key", "left").join(degree, "key", "left").select("key", "rep", "n_copies", F.coalesce("class", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows, named
+    return keyed(docs), named
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links and n_copies (documents with the same words)."""
-    rows, named = _named(docs, threshold, block)
+    rows, named = _named(docs, threshold, block_bytes)
     # read back, so that both sides of the join below are shuffled for it and a large class can be split
     least = cut(named.groupBy("class").agg(F.min("rep").alias("class_id")))
-    return rows.select("doc_id", "key").join(named.join(least, "class"), "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    return rows.join(named.join(least, "class"), "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, with one of each class: of its least doc_id (null only if it has no other), then text key, then row."""
-    _, named = _named(docs, threshold, BLOCK)
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns whatever their names, with one of each class: of its least doc_id (null only if it has no
+    other), then text key, then row.  Null and empty texts are one class; of repeated rows one stays; no rows, no documents."""
+    _, named = _named(docs, threshold, block_bytes)
     # of each class, the text to keep and its doc_id, null as 0 beside a mark
     best = F.min(F.struct(F.col("rep").isNull().alias("no_id"), F.coalesce("rep", F.lit(0)).alias("id"), "key"))
     chosen = named.groupBy("class").agg(best.alias("best")).select("best.key", "best.no_id", "best.id")
     names = docs.columns
-
-    def keyed(batches):
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([key_of(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["row", "key"])
-
     row = F.struct(*(F.col(f"`{x}`") for x in names))
-    shape = docs.select(row.alias("row"), text_or_empty().alias("text"))
-    schema = StructType([shape.schema["row"], StructField("key", BinaryType())])
-    found = shape.mapInArrow(keyed, schema).select("key", F.col("row.doc_id").isNull().alias("no_id"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), "row")
+    found = docs.select(key_column().alias("key"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), row.alias("row"))
     kept = found.join(chosen, ["key", "no_id", "id"], "left_semi").groupBy("key", "no_id", "id").agg(F.min("row").alias("row"))
     return kept.select(*(F.col(f"row.`{x}`") for x in names))
