@@ -6,8 +6,9 @@ front.  Every normalised byte records the source byte that it came from, so each
 to a span of the original UTF-8 bytes.  The library chooses the pieces; their lengths must add up to our normal form,
 else the row fails loudly.
 
-Cases: null and empty texts have no pieces; repeated rows get equal rows; very long texts are encoded whole; further
-columns are not read.
+Cases: null and empty texts have no pieces; unknown pieces (of models without bytes) cover what they stand for; of rules
+that start alike the longest wins, so there are no ties; repeated rows get equal rows; very long texts are encoded whole;
+no rows, no pieces; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,12 +121,17 @@ class Codec:
         self.normal = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         one_byte = pb.ModelProto.SentencePiece.BYTE
         self.length = np.array([1 if p.type == one_byte else len(p.piece.encode()) for p in model.pieces])
+        self.unknown = self.library.unk_id()
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids and their spans in the bytes of the text."""
         ids = self.library.encode(text, add_bos=False, add_eos=False)
         normal, source = self.normal(text.encode())
-        ends = np.cumsum(self.length[ids]) if ids else np.zeros(0, np.int64)
+        sizes = self.length[ids] if ids else np.zeros(0, np.int64)
+        if self.unknown in ids:  # its name is not what it stands for
+            said = self.library.encode(text, add_bos=False, add_eos=False, out_type=str)
+            sizes = np.array([len(p.encode()) if i == self.unknown else n for i, n, p in zip(ids, sizes, said, strict=True)])
+        ends = np.cumsum(sizes)
         if len(normal) != (ends[-1] if ids else 0):
             raise ValueError("pieces do not cover the normalised text")
         return ids, source[np.concatenate(([0], ends[:-1])).astype(np.int64)] if ids else ends, source[ends]
@@ -139,6 +145,33 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+ENCODED = "doc_id long, ids array<int>, starts array<long>, ends array<long>"
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """Each document's ids, and where in the bytes of its text each piece starts and ends."""
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            rows = [c.encode(t or "") for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), *(pa.array([r[i].tolist() for r in rows], pa.list_(pa.int64())) for i in (1, 2))]
+            yield pa.record_batch(columns, names=["doc_id", "ids", "starts", "ends"])
+
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, ENCODED)
+
+
+def decoded(ids: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of rows with ids; null ids are the empty text."""
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return in_arrow(ids.selectExpr("cast(doc_id as long) doc_id", "ids"), run, "doc_id long, text string")
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
