@@ -7,11 +7,14 @@ kept from falling below zero (where it does, the step goes the other way).  Scor
 rows of the learning part, each scored by a classifier that was trained without its fold (FOLDS of them).  Labels are
 read only of rows outside the held-out fold.
 
-Fitted on bounded samples (FIT_POSITIVE, FIT_UNLABELLED and FIT_CALIBRATION rows, by hash of doc_id).
-
-Cases: null and empty texts score the calibrated intercept; repeated rows get equal rows; no toxic text to
-learn from: every score is 0; too few for every fold to leave one: calibrated on the texts trained from; further
-input columns are not read.
+How many texts hold a feature is counted over all documents, fold by fold.  Positive, calibrating and, for the steps of the
+classifier, unlabelled texts are bounded samples (FIT_POSITIVE, FIT_CALIBRATION and FIT_UNLABELLED rows, by hash of
+doc_id); of these the driver is sent the screened features only, never a text.
+
+Cases: null and empty texts score the calibrated intercept; repeated rows get equal rows; of an id with several texts
+the greatest is learnt from; a score of just THRESHOLD is predicted; very long texts are scored whole; no toxic text to
+learn from: every score is 0; too few for every fold to leave one: calibrated on the texts trained from; no rows, no
+scores; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, least_hashed, slices
+from .common import cut, in_arrow, least_hashed, slices
 from .grams import LETTERS, U, Batch, mix
 from .quality import _sigmoid, calibrate
 
@@ -77,6 +81,10 @@ class Sparse:
             col.append(bucket)
         return cls(len(texts), np.concatenate(row), np.concatenate(col))
 
+    @classmethod
+    def listed(cls, buckets: list[np.ndarray]) -> Sparse:
+        return cls(len(buckets), np.repeat(np.arange(len(buckets)), [len(x) for x in buckets]), np.concatenate([np.zeros(0, np.int64), *buckets]))
+
     def take(self, mask: np.ndarray) -> Sparse:
         keep = mask[self.row]
         return Sparse(int(mask.sum()), (np.cumsum(mask) - 1)[self.row[keep]], self.col[keep])
@@ -84,20 +92,23 @@ class Sparse:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n) + w[-1]
 
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.col, minlength=1 << BITS)
 
-def screen(pc: np.ndarray, uc: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray:
-    """Buckets that confirmed toxic texts hold more often than unlabelled ones, beyond chance."""
-    fp, fu = (np.bincount(c, minlength=1 << BITS) / n for c, n in ((pc, n_pos), (uc, n_unl)))
-    fp, fu = np.minimum(fp, 1), np.minimum(fu, 1)
-    spread = np.sqrt((fu + 1 / n_unl) * (1 - fu + 1 / n_unl) * (1 / n_pos + 1 / n_unl))
+
+def screen(pos: np.ndarray, every: np.ndarray, n_pos: int, n_all: int) -> np.ndarray:
+    """Buckets that confirmed toxic texts hold more often than texts do on the whole, beyond chance; pos and every: texts by bucket."""
+    n_pos, n_all = max(n_pos, 1), max(n_all, 1)
+    fp, fu = np.minimum(pos / n_pos, 1), np.minimum(every / n_all, 1)
+    spread = np.sqrt((fu + 1 / n_all) * (1 - fu + 1 / n_all) * (1 / n_pos + 1 / n_all))
     return (fp - fu >= max(LEAST_SHARE, 2 / n_pos)) & (fp - fu >= LEAST_Z * spread)
 
 
-def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, least: float = 0.0) -> np.ndarray:
-    """Weights that minimise the non-negative risk with the logistic loss, by Adam over whole passes."""
+def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, use: np.ndarray | None = None, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, least: float = 0.0) -> np.ndarray:
+    """Weights that minimise the non-negative risk with the logistic loss, by Adam over whole passes; use: the buckets screened."""
     size = (1 << BITS) + 1
     np_, nu = max(positive.n, 1), max(unlabelled.n, 1)
-    use = screen(positive.col, unlabelled.col, np_, nu)
+    use = screen(positive.counts(), unlabelled.counts(), np_, nu) if use is None else use
     pr, pc = positive.row[use[positive.col]], positive.col[use[positive.col]]
     ur, uc = unlabelled.row[use[unlabelled.col]], unlabelled.col[use[unlabelled.col]]
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -123,19 +134,62 @@ def held_out(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fold(doc_id: int) -> int:
+def fold(doc_id: int | None) -> int:
     return (zlib.crc32(str(doc_id).encode()) >> 8) % FOLDS
 
 
-def fit_folds(parts: dict[str, list[tuple[int, bytes]]], prior: float) -> dict:
-    """Weights from all of p (toxic) and u (unlabelled), calibrated on c0 and c1 fold by fold."""
-    x = {k: Sparse.of([t for _, t in rows]) for k, rows in parts.items()}
-    at = {k: np.array([fold(d) for d, _ in rows], int) for k, rows in parts.items()}
-    w = fit_nnpu(x["p"], x["u"], prior)
+#: Buckets that travel together while they are counted.
+TOGETHER = 1 << 12
+
+
+def bucket_counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of (doc_id, text, positive): how many texts hold each bucket, by kind (all, positive) and fold, and how many texts there are."""
+
+    def count(batches):
+        held, n = np.zeros((2, FOLDS, 1 << BITS), np.int64), np.zeros((2, FOLDS), np.int64)
+        for b in batches:
+            folds = np.array([fold(d) for d in b.column(0).to_pylist()], int)
+            raw, positive = [(t or "").encode() for t in b.column(1).to_pylist()], np.array(b.column(2).to_pylist(), bool)
+            for a, z in slices(raw):
+                owner, bucket = features(Batch(raw[a:z], LETTERS, lower=True))
+                for kind, of in enumerate((np.ones(z - a, bool), positive[a:z])):
+                    for i in range(FOLDS):
+                        mine = of & (folds[a:z] == i)
+                        n[kind, i] += mine.sum()
+                        if mine.any():
+                            held[kind, i] += np.bincount(bucket[mine[owner]], minlength=1 << BITS)
+        zip_ = zstandard.ZstdCompressor()
+        rows = [(k, i, p, held[k, i, p * TOGETHER : (p + 1) * TOGETHER]) for k, i in np.ndindex(2, FOLDS) for p in range((1 << BITS) // TOGETHER)]
+        rows = [(k, i, p, zip_.compress(x.astype("<i8").tobytes())) for k, i, p, x in rows if x.any()] + [(k, i, -1, zip_.compress(n[k, i : i + 1].astype("<i8").tobytes())) for k, i in np.ndindex(2, FOLDS)]
+        yield pa.record_batch([*(pa.array([r[j] for r in rows], pa.int32()) for j in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=["kind", "fold", "part", "data"])
+
+    def add(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for *at, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+                total[tuple(at)] = total[tuple(at)] + x if tuple(at) in total else x
+        rows = list(total.items())
+        yield pa.record_batch([*(pa.array([k[j] for k, _ in rows], pa.int32()) for j in range(3)), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["kind", "fold", "part", "data"])
+
+    schema = "kind int, fold int, part int, data binary"
+    held, n = np.zeros((2, FOLDS, 1 << BITS), np.int64), np.zeros((2, FOLDS), np.int64)
+    for r in in_arrow(in_arrow(marked, count, schema).repartition("kind", "fold", "part"), add, schema).collect():
+        if r.part < 0:
+            n[r.kind, r.fold] = np.frombuffer(r.data, "<i8")[0]
+        else:
+            held[r.kind, r.fold, r.part * TOGETHER : (r.part + 1) * TOGETHER] = np.frombuffer(r.data, "<i8")
+    return held, n
+
+
+def fit_folds(x: dict[str, Sparse], at: dict[str, np.ndarray], uses: list[np.ndarray], prior: float) -> dict:
+    """Weights from all of p (toxic) and u (unlabelled), calibrated on c0 and c1 fold by fold; at: the folds of the rows; uses: the
+    buckets screened on everything, then without each fold."""
+    w = fit_nnpu(x["p"], x["u"], prior, uses[0])
     z = {k: x[k].dot(w) for k in ("c0", "c1")}
     if all((at["p"] != i).any() for i in range(FOLDS)):
         for i in range(FOLDS):
-            without = fit_nnpu(x["p"].take(at["p"] != i), x["u"].take(at["u"] != i), prior)
+            without = fit_nnpu(x["p"].take(at["p"] != i), x["u"].take(at["u"] != i), prior, uses[i + 1])
             for k in z:
                 z[k][at[k] == i] = x[k].take(at[k] == i).dot(without)
     y = np.repeat((0.0, 1.0), (len(z["c0"]), len(z["c1"])))
@@ -143,7 +197,11 @@ def fit_folds(parts: dict[str, list[tuple[int, bytes]]], prior: float) -> dict:
     return {"w": w.astype(np.float32), "a": a, "c": c}
 
 
+PARTS = ("p", "u", "c0", "c1")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not toxic:
@@ -151,12 +209,27 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     positive = least_hashed(known.filter("toxic = 1"), toxic, FIT_POSITIVE).withColumn("part", F.lit("p"))
     check = least_hashed(known, n, FIT_CALIBRATION, 1).join(known, "doc_id").select("doc_id", F.concat(F.lit("c"), F.col("toxic").cast("string")).alias("part"))
     unlabelled = least_hashed(docs.filter("doc_id is not null"), docs.count(), FIT_UNLABELLED, 2).withColumn("part", F.lit("u"))
-    chosen = positive.unionByName(check).unionByName(unlabelled).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
+    chosen = cut(positive.unionByName(check).unionByName(unlabelled).groupBy("doc_id").agg(F.collect_set("part").alias("parts")))
+    marked = docs.join(F.broadcast(chosen.filter(F.array_contains("parts", "p")).select("doc_id", F.lit(True).alias("positive"))), "doc_id", "left")
+    held, texts = bucket_counts(marked.select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive")))
+    uses = [screen(*(held[k][of].sum(axis=0) for k in (1, 0)), *(texts[k][of].sum() for k in (1, 0))) for of in (np.ones(FOLDS, bool), *(np.arange(FOLDS) != i for i in range(FOLDS)))]
+    any_use = docs.sparkSession.sparkContext.broadcast(np.logical_or.reduce(uses))
+
+    def used(batches):
+        for b in batches:
+            out: list[list[int]] = []
+            for t in b.column(2).to_pylist():
+                _, bucket = features(Batch([(t or "").encode()], LETTERS, lower=True))
+                out.append(bucket[any_use.value[bucket]].tolist())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "parts", "buckets"])
+
     # an id that repeats comes once, with its greatest text
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("parts").alias("parts"))
-    rows = found.orderBy("doc_id").collect()
-    parts = {p: [(r.doc_id, (r.text or "").encode()) for r in rows if p in r.parts] for p in ("p", "u", "c0", "c1")}
-    return fit_folds(parts, prior=float(np.clip(toxic / n, 0.01, 0.9))) if parts["p"] else None
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("parts").alias("parts"), F.max("text").alias("text"))
+    rows = in_arrow(found, used, "doc_id long, parts array<string>, buckets array<long>").orderBy("doc_id").collect()
+    of = {p: [r for r in rows if p in r.parts] for p in PARTS}
+    x = {p: Sparse.listed([np.array(r.buckets, np.int64) for r in of[p]]) for p in PARTS}
+    at = {p: np.array([fold(r.doc_id) for r in of[p]], int) for p in PARTS}
+    return fit_folds(x, at, uses, prior=float(np.clip(toxic / n, 1e-4, 0.9))) if of["p"] else None
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
