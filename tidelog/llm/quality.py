@@ -6,11 +6,14 @@ logistic regression over hashed word n-grams (1 and 2) and byte n-grams (1 to 4)
 labelled quality rows and probability-calibrated on rows kept out of its fitting.
 
 The model is fitted on a bounded sample of labelled rows (FIT_ROWS, by hash of doc_id, half as many bad as good at
-most); everything else reads every row and its whole text.
+most), those that the base rule leaves, as it judges no others.  Its probabilities are calibrated to the share of good
+ones among all labelled rows that the base rule leaves (counts of all, times what it leaves of the sample), so that 0.5
+means as likely good as bad.  Everything else reads every row and its whole text.
 
 Cases: null and empty texts have no words and fail the base rule; repeated rows get equal rows; n_dup_lines counts
-lines with a word that equal an earlier line byte for byte; no labelled rows, or only one label: the base rule
-alone decides; further input columns are not read.
+lines with a word that equal an earlier line byte for byte; of an id with several labels the least counts, with
+several texts the greatest; a probability of just KEEP_FROM is kept; very long texts are judged whole; no labelled rows,
+or only one label: the base rule alone decides; no rows, no verdicts; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ BITS = 15
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 2000
 #: Documents less likely good than this are rejected.
-KEEP_FROM = 0.35
+KEEP_FROM = 0.5
 _SYMBOL = np.array([chr(i) in "#*$%&|<>" for i in range(256)])
 _KINDS = 6
 
@@ -147,18 +150,38 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(k[1] - a * middle)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bytes, int]]:
-    """Up to rows labelled texts, chosen by hash; of the bad ones up to a third."""
+def base_failed(f: dict[str, np.ndarray]) -> np.ndarray:
+    return (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED_PERCENT * f["n_words"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[tuple[bytes, int]], float]:
+    """Of up to rows labelled texts, chosen by hash, a third of them bad at most, those that the base rule leaves; and the share
+    of good ones among all labelled texts that it leaves."""
     one = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     count = {r.quality: r["count"] for r in one.groupBy("quality").count().collect()}
     part = lambda q, k: least_hashed(one.filter(F.col("quality") == q), count.get(q, 0), k).withColumn("quality", F.lit(q))
     chosen = part(0, rows // 3).unionByName(part(1, rows - rows // 3))
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text")).orderBy("doc_id").collect()
-    return [(r.text.encode(), int(r.quality)) for r in found]
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
+
+    def judged(batches):
+        for b in batches:
+            failed = judge(b.column(2).to_pylist(), None)["base_failed"]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([None if x else t for x, t in zip(failed, b.column(2).to_pylist(), strict=True)], pa.string())], names=["doc_id", "quality", "text"])
+
+    found = in_arrow(texts.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality", "cast(text as string) text"), judged, "doc_id long, quality int, text string").orderBy("doc_id").collect()
+    left = [[r.text is not None for r in found if r.quality == q] for q in (0, 1)]
+    bad, good = (count.get(q, 0) * (sum(x) + 0.5) / (len(x) + 1) for q, x in enumerate(left))
+    return [(r.text.encode(), r.quality) for r in found if r.text is not None], good / max(good + bad, 1e-9)
 
 
-def train(sample: list[tuple[bytes, int]]) -> dict | None:
-    """Weights fitted on four fifths of the sample, calibrated on the fifth kept out."""
+def _log_odds(share: float) -> float:
+    share = min(max(share, 0.001), 0.999)
+    return float(np.log(share / (1 - share)))
+
+
+def train(sample: list[tuple[bytes, int]], share: float | None = None) -> dict | None:
+    """Weights fitted on four fifths of the sample, calibrated on the fifth kept out, then to the share of good ones where the
+    model is used (None: as in the sample)."""
     y = np.array([q for _, q in sample], float)
     if len(sample) < 10 or y.min() == y.max():
         return None
@@ -166,10 +189,17 @@ def train(sample: list[tuple[bytes, int]]) -> dict | None:
     out = np.arange(len(sample)) % 5 == 4
     fit, held = rows.take(~out), rows.take(out)
     del rows
+    if not 0 < y[~out].sum() < (~out).sum():
+        return None
     w = fit_logistic(fit, y[~out])
     a, c = calibrate(held.dot(w), y[out]) if 0 < y[out].sum() < out.sum() else (1.0, 0.0)
-    share = np.clip(y[out].mean(), 0.02, 0.98) if out.any() else 0.5
-    return {"w": w.astype(np.float32), "a": a, "c": c, "share": float(share)}
+    if share is not None:
+        c += _log_odds(share) - _log_odds(y[out].mean() if 0 < y[out].sum() < out.sum() else 0.5)
+    return {"w": w.astype(np.float32), "a": a, "c": c}
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
+    return train(*labelled_sample(docs, labels))
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
@@ -183,7 +213,7 @@ def judge(texts: list[str | None], model: dict | None, keep_from: float = KEEP_F
         b = Batch(raw[a:z])
         words = b.words()
         f = base_features(b, raw[a:z], words)
-        f["base_failed"] = (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED_PERCENT * f["n_words"])
+        f["base_failed"] = base_failed(f)
         f["probability"] = _sigmoid(model["a"] * score(model["w"], b, words) + model["c"]) if model else np.ones(b.n)
         f["kept"] = ~f["base_failed"] & (f["probability"] >= keep_from)
         parts.append(f)
@@ -193,7 +223,7 @@ def judge(texts: list[str | None], model: dict | None, keep_from: float = KEEP_F
 
 def rate(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """Features, verdict and probability of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(batches):
         for b in batches:
@@ -205,8 +235,9 @@ def rate(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> Da
 
 
 def keep(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents, all columns, that pass."""
-    held = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels)))
+    """The documents, all columns whatever their names, that pass; null, empty and repeated rows are judged as in rate(), texts of
+    any length whole; no rows, no documents."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches):
