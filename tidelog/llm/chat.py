@@ -6,7 +6,10 @@ code.  Turns are written as `### role: text </turn>` and a line feed.  Inside ro
 each backslash, `#`, `<` and, in roles, `:`, so no text can open or close a turn, and undoing it is exact.
 
 Cases: null text is the empty text, null role the empty role; turns keep the order of turn, then role, then text, so
-ties and repeated rows have one result (each stays a turn); an unknown layout gives no turns; no rows, no records.
+ties and repeated rows have one result (each stays a turn); a record of no known layout is read by the largest layout whose
+paths it holds, its other fields aside, and if there is none it becomes one turn of the role unknown that holds the record
+as JSON, outside the loss mask; a conversation is one row, whatever its length, as its formatted text is one string;
+no rows, no records; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +40,14 @@ def fingerprint(record: Any) -> str:
     return hashlib.sha1("\n".join(sorted(paths(record))).encode()).hexdigest()
 
 
+#: The paths of each known layout.
+_PATHS: dict[str, frozenset[str]] = {}
+
+
 def _shape(*p: str) -> str:
-    return hashlib.sha1("\n".join(sorted(p)).encode()).hexdigest()
+    shape = hashlib.sha1("\n".join(sorted(p)).encode()).hexdigest()
+    _PATHS[shape] = frozenset(p)
+    return shape
 
 
 #: Layouts by fingerprint: ("list", path, role field, text field, role names), or ("fields", [(role, field), ...]).
@@ -58,11 +67,21 @@ LAYOUTS: dict[str, tuple] = {
 def canonical(record: Any) -> list[tuple[str, str]]:
     layout = LAYOUTS.get(fingerprint(record))
     if layout is None:
-        return []
+        held = paths(record)
+        inside = [k for k, p in _PATHS.items() if p <= held and len(p) > 1]
+        if not inside:
+            return [("unknown", json.dumps(record, ensure_ascii=False, sort_keys=True))]
+        layout = LAYOUTS[max(inside, key=lambda k: (len(_PATHS[k]), k))]
     if layout[0] == "fields":
-        return [(role, record[f] or "") for role, f in layout[1]]
+        return [(role, _said(record[f])) for role, f in layout[1]]
     _, path, role, text, names = layout
-    return [(names.get(m[role], m[role]) or "", m[text] or "") for m in (record[path] if path else record)]
+    turns = record[path] if path else record
+    return [(names.get(x := _said(m.get(role)), x), _said(m.get(text))) if isinstance(m, dict) else ("", _said(m)) for m in turns]
+
+
+def _said(value: Any) -> str:
+    """A field as text; what is no text is JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def _put(text: str) -> str:
@@ -89,16 +108,16 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), mask
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*) </turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     out, at = [], 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
-        if not m:
+        if not m or not m[2].endswith(" "):
             raise ValueError(f"no turn at {at}")
-        out.append((_undo(m[1]), _undo(m[2])))
+        out.append((_undo(m[1]), _undo(m[2][:-1])))  # without the space before the end
         at = m.end()
     return out
 
