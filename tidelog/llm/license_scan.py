@@ -11,8 +11,9 @@ Templates are a fixed, short list, so their side is broadcast (its size is check
 are shuffled.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows get equal rows; templates and phrases
-that repeat or overlap in a text all count; labels are distinct and sorted; further columns are not read; an empty
-table gives no rows.
+that repeat or overlap in a text all count; spans of equal share and windows keep both labels; labels are distinct and
+sorted; very long texts are scanned whole; further columns are not read, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,14 +37,24 @@ TEMPLATES = (
     ("mit", "Released under the MIT License", ("the mit license",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ()),
     ("apache-2", "Licensed under the Apache License, Version 2.0", ("license version 2",)),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ()),
     ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", ()),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("commons attribution noncommercial",)),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("attribution 4 0",)),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("commons attribution sharealike",)),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu general public", "license version 3")),
+    ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu general public", "either version 3")),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu general public", "license version 2")),
     ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ("gnu general public", "either version 2")),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general",)),
+    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu affero general", "either version 3")),
+    ("bsd", "Licensed under the BSD 3-Clause License", ("bsd 3 clause",)),
+    ("bsd", "Licensed under the BSD 2-Clause License", ("bsd 2 clause",)),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ()),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ()),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ()),
+    ("epl-2", "made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
 )
