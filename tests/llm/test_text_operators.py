@@ -95,6 +95,44 @@ def test_longest_prefix_normalisation():
     assert out == pieces.SPACE + b"x" + pieces.SPACE + b"r"
 
 
+def test_normal_form_equals_the_library(spark, tmp_path):
+    """A model with compiled rules and without bytes: spans project every piece, unknown ones included."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(Q.piece_model(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.normalizer_spec.precompiled_charsmap = compiled({b"a": b"o", b"ab": b"the", "é".encode(): b"e", b"\t": b" ", "ﬁ".encode(): b"fi"})
+    m.trainer_spec.byte_fallback = False
+    for p in m.pieces:
+        if p.type == pb.ModelProto.SentencePiece.BYTE:
+            p.type = pb.ModelProto.SentencePiece.UNUSED
+    path = str(tmp_path / "rules.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    c = pieces.Codec(path)
+    r = random.Random(2)
+    texts = ["", "ab aab cabé", "\tﬁne é", "\U0001f600 x \U0001f600\U0001f601"] + ["".join(r.choices("ab cdé\tﬁ\U0001f600x", k=r.randint(1, 60))) for _ in range(200)]
+    for text in texts:
+        ids, start, end = c.encode(text)
+        assert ids == c.library.encode(text) and len(start) == len(end) == len(ids)
+        said, (normal, source) = "".join(c.library.encode(text, out_type=str)).encode(), c.normal(text.encode())
+        assert normal == said and len(source) == len(normal) + 1
+        raw = text.encode()
+        assert b"".join(raw[a:z] for a, z in zip(start, end, strict=True)) == raw
+
+
+def test_pieces_and_spans_as_rows(spark):
+    rows = spark.createDataFrame([(1, "Hello  wörld", "k"), (2, None, "k"), (None, "\U0001f600", "k")], "doc_id long, text string, ids string")
+    c = pieces.codec(Q.piece_model())
+    got = {r.doc_id: r for r in pieces.encoded(rows, Q.piece_model()).collect()}
+    for doc, text in ((1, "Hello  wörld"), (2, ""), (None, "\U0001f600")):
+        ids, start, end = c.encode(text)
+        assert (got[doc].ids, got[doc].starts, got[doc].ends) == (ids, start.tolist(), end.tolist())
+    back = {r.doc_id: r.text for r in pieces.decoded(pieces.encoded(rows, Q.piece_model()), Q.piece_model()).collect()}
+    assert back == {1: "Hello  wörld", 2: "", None: "\U0001f600"}
+
+
 # 2
 
 
@@ -312,19 +350,44 @@ def test_nnpu_finds_positives_among_unlabelled():
 def test_calibration_leaves_out_its_fold(monkeypatch):
     r = random.Random(1)
     parts = {"p": [(i, said(r, True)) for i in range(60)], "u": [(i, said(r, i < 60)) for i in range(400)], "c0": [(i, said(r, False)) for i in range(60, 300)], "c1": [(i, said(r, True)) for i in range(60)]}
+    x = {k: toxicity.Sparse.of([t for _, t in v]) for k, v in parts.items()}
+    at = {k: np.array([toxicity.fold(d) for d, _ in v]) for k, v in parts.items()}
+    use = toxicity.screen(x["p"].counts(), x["u"].counts(), 60, 400)
+    uses = [use] * (toxicity.FOLDS + 1)
     seen = []
     fit = toxicity.fit_nnpu
-    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, prior: seen.append((p.n, u.n)) or fit(p, u, prior))
-    m = toxicity.fit_folds(parts, 0.15)
-    folds = [[toxicity.fold(d) for d, _ in parts[k]] for k in ("p", "u")]
-    assert seen == [(60, 400)] + [tuple(sum(f != i for f in x) for x in folds) for i in range(toxicity.FOLDS)]
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, prior, use: seen.append((p.n, u.n)) or fit(p, u, prior, use))
+    m = toxicity.fit_folds(x, at, uses, 0.15)
+    assert seen == [(60, 400)] + [tuple((at[k] != i).sum() for k in ("p", "u")) for i in range(toxicity.FOLDS)]
     s = toxicity.scores([said(r, True).decode(), said(r, False).decode()], m)
     assert s[0] > 0.9 and s[1] < 0.1
     del seen[:]
-    toxicity.fit_folds(parts | {"p": parts["p"][:1]}, 0.15)
+    toxicity.fit_folds(x | {"p": x["p"].take(np.arange(60) == 0)}, at | {"p": at["p"][:1]}, uses, 0.15)
     assert seen == [(1, 400)]
 
 
+def test_toxic_features_are_counted_over_all_documents(spark, docs):
+    rows = [(d.doc_id, d.text, d.doc_id % 3 == 0) for d in docs] + [(None, None, False), (3, "again again", True)]
+    held, n = toxicity.bucket_counts(spark.createDataFrame(rows, "doc_id long, text string, positive boolean").repartition(5))
+    want, texts = np.zeros_like(held), np.zeros_like(n)
+    for d, t, positive in rows:
+        for kind in range(1 + positive):
+            texts[kind, toxicity.fold(d)] += 1
+            want[kind, toxicity.fold(d)] += toxicity.Sparse.of([(t or "").encode()]).counts()
+    assert (held == want).all() and (n == texts).all()
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    """The query's model, applied feature by feature."""
+    d = "/root/testdata/sf0.01"
+    table = {k: spark.read.parquet(f"{d}/{k}.parquet") for k in ("documents", "labels")}
+    m = toxicity.train(table["documents"], table["labels"])
+    got = {r.doc_id: r.score for r in Q.op4_toxicity(spark, d).collect()}
+    for r in table["documents"].limit(60).collect():
+        z = m["w"][-1] + sum(float(m["w"][b]) for b in toxicity.Sparse.of([r.text.encode()]).col)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(m["a"] * z + m["c"])))) < 1e-5
+
+
 def plain_features(text):
     words = WORD.findall(text)
     tri = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -349,6 +412,16 @@ def test_quality_features_and_verdicts(spark, docs):
     assert np.mean([r.kept for r in rows if labels[r.doc_id]]) > 0.97 and np.mean([r.kept for r in rows if not labels[r.doc_id]]) < 0.2
 
 
+def test_quality_probability_is_calibrated_to_where_it_is_used(spark):
+    d = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in Q.op5_quality(spark, d).collect() if not r.base_failed and labels.get(r.doc_id) is not None]
+    assert all(r.kept == (r.probability >= 0.5) for r in rows)
+    assert abs(np.mean([r.probability for r in rows]) - np.mean([labels[r.doc_id] for r in rows])) < 0.05
+    rows, share = quality.labelled_sample(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert not quality.judge([t.decode() for t, _ in rows], None)["base_failed"].any() and 0.5 < share < 1
+
+
 # 6
 
 
@@ -366,13 +439,22 @@ def test_chat_round_trip(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         said = "".join(f"{r}\n{t}\n" for r, t in turns)
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha(said.encode()), len(loss), sha(loss.encode()))
+        escaped = [len(re.findall(r"[\\#<:]", r)) + len(r) + len(re.findall(r"[\\#<]", t)) + len(t) + len("### :  </turn>\n") for r, t in turns]
+        assert got[c].formatted_chars == sum(escaped)
 
 
 def test_chat_layouts(spark):
     same = [("user", "q"), ("assistant", "a")]
     for record in ({"prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a"}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}):
         assert chat.canonical(record) == same
-    assert chat.canonical({"what": 1}) == []
+    assert chat.canonical({"prompt": "q", "completion": "a", "id": 7, "meta": {"x": [1]}}) == same
+    assert chat.canonical({"messages": [{"role": "user", "content": "q", "at": 1}, {"role": "assistant", "content": "a"}], "source": None}) == same
+    assert chat.canonical({"what": 1}) == [("unknown", '{"what": 1}')] and chat.canonical({"prompt": 5, "completion": None}) == [("user", "5"), ("assistant", "")]
+    import time
+
+    long = [("user", "\\#< x" * 200_000), ("assistant", " " * 100_000)]
+    start = time.process_time()
+    assert chat.parse(chat.render(long)[0]) == long and time.process_time() - start < 5
     odd = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, "user", "x")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.n_turns for r in chat.digests(chat.format_chats(chat.as_records(odd))).collect()}
     assert got == {1: 3, None: 1}
@@ -542,6 +624,21 @@ def test_secret_patterns_and_models(spark, docs):
         assert [s for s in secrets_scan.scan(d.text) if s[1] < 3] == sorted(base)
 
 
+def test_secrets_query_equals_plain_patterns(spark, docs):
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""
+    got = {r.doc_id: r for r in Q.op9_secrets(spark, SF).collect()}
+    for d in docs:
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(assign, d.text) if len(m[1]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", d.text) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", d.text) if len(m[0]) >= 16]
+        base = [f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in sorted(spans)]
+        r = got[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert r.base_sha256 == sha(",".join(base).encode()) and set(base) <= set(r.spans.split(",") if r.spans else ())
+        assert len(r.spans.split(",") if r.spans else ()) == len(base) + r.n_markov
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 0
+
+
 def test_random_letters_and_short_keys_are_secrets():
     r = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -580,15 +677,71 @@ def test_licenses(spark, docs):
 def test_related_licenses_are_told_apart(spark):
     whole = {i: (label, text) for i, (label, text, _) in enumerate(license_scan.TEMPLATES)}
     rows = [(i, f"some words before. {text}. and some after") for i, (_, text) in whole.items()]
-    rows += [(100, "Licensed under the Apache License, Version 1.1"), (101, "This work is licensed under the GNU General Public License, version 2"), (102, "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License")]
+    rows += [(100, "Licensed under the Apache License, Version 1.1"), (101, "This work is licensed under the GNU General Public License, version 1"), (102, "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License")]
     rows.append((103, "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License"))
     rows.append((104, " filler here ".join(text for _, text in whole.values())))
-    rows.append((105, "This work is licensed under a Creative Commons Attribution and then NonCommercial 4.0 International License. " + whole[12][1]))
+    rows.append((105, "This work is licensed under a Creative Commons Attribution and then NonCommercial 4.0 International License. " + next(t for label, t in whole.values() if label == "mpl-2")))
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: got[i].labels for i in whole} == {i: label for i, (label, _) in whole.items()} and all(got[i].score == 1 for i in whole)
     assert [got[i].labels for i in range(100, 106)] == ["", "", "", "lgpl", ",".join(sorted({x for x, _ in whole.values()})), "mpl-2"]
 
 
+def test_license_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    rows = [(1, gpl), (2, gpl.replace("3", "2").replace("Foundation,", "Foundation;")), (3, gpl.replace("General", "Affero General")), (4, "Licensed under the BSD 3-Clause License."), (5, "the bsd of the 3 clause"), (6, gpl.replace("General", "Lesser General")), (7, "word " * 100_000 + gpl)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "gpl-3", 2: "gpl-2", 3: "agpl-3", 4: "bsd", 5: "", 6: "lgpl", 7: "gpl-3"}
+
+
+def test_license_labels_equal_brute_force(spark):
+    """Every template at every place of a text, window by window."""
+    r = random.Random(12)
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    templates = [(label, words(t), tells) for label, t, tells in license_scan.TEMPLATES]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(0, 3)):
+            t = list(r.choice(templates)[1])
+            if r.random() < 0.5:
+                t.insert(r.randrange(len(t)), "extra")
+            if r.random() < 0.3:
+                del t[r.randrange(len(t))]
+            parts += [f"f{r.randrange(99)}" for _ in range(r.randint(15, 30))] + t
+        rows.append((i, " ".join(parts)))
+    want = {}
+    for i, text in rows:
+        w = text.split()
+        at = defaultdict(list)
+        for k in range(len(w) - 2):
+            at[tuple(w[k : k + 3])].append(k)
+        sure = []
+        for label, t, tells in templates:
+            grams = [tuple(t[k : k + 3]) for k in range(len(t) - 2)]
+            votes = defaultdict(lambda: [set(), [], []])
+            for spot, g in enumerate(grams):
+                for k in at[g]:
+                    votes[k - spot][0].add(spot)
+                    votes[k - spot][1].append(k)
+            bands, last = [], None
+            for diagonal in sorted(votes):
+                if last is None or diagonal - last > 2:
+                    bands.append((set(), []))
+                bands[-1][0].update(votes[diagonal][0])
+                bands[-1][1].extend(votes[diagonal][1])
+                last = diagonal
+            where = {g: p for p, g in enumerate(grams)}
+            for spots, places in bands:
+                share = min(1.0, len(spots) / max(len(grams), max(places) - min(places) + 1 - 6))
+                if share >= 0.6 and all(where[tuple(x.split())] in spots for x in tells):
+                    sure.append((label, min(places), max(places), share, len(spots)))
+        kept = {x[0] for x in sure if not any(y[0] != x[0] and y[1] <= x[2] and x[1] <= y[2] and y[3:] > x[3:] for y in sure)}
+        base = {label for p, label in license_scan.PHRASES if f" {p} " in f" {' '.join(w)} "}
+        want[i] = ",".join(sorted(kept | base))
+    got = {x.doc_id: x.labels for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(bool(x) for x in want.values()) > 30
+
+
 # Stated cases of every operator
 
 

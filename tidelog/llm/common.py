@@ -45,6 +45,11 @@ def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder, so that a lost executor costs one step only."""
     shared_folder(df.sparkSession)

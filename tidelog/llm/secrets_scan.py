@@ -5,7 +5,8 @@ ordinary identifiers and words).  A candidate token is a secret if the log-likel
 exceeds a threshold, a higher one for short tokens and those without a digit.  Added spans carry the kind markov and never replace those of the patterns.
 
 Cases: null and empty texts have no spans; repeated rows get equal rows; spans are in code points, end
-exclusive; very long texts are scanned whole; further columns are not read; an empty table gives no rows.
+exclusive; spans that start alike stand by kind; very long texts are scanned whole; further columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, with every span of their texts replaced and n_chars, if there, counted anew."""
+    """The documents, all columns whatever their names, with every span of their texts replaced and n_chars, if there, counted
+    anew; null texts stay null, repeated rows stay equal, texts of any length are read whole; no rows, no documents."""
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
