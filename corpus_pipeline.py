@@ -3,6 +3,11 @@
 Rows: quality rules drop documents, the Jaccard join keeps one of each class of near copies, the secret scan replaces
 secrets in texts, the mix repeats or leaves out documents so that sources come near their targets, and the last stage
 encodes what is left.
+
+Cases: null and empty texts fail the quality rules; null ids and sources are kept as they are; of copies, near copies and
+repeated rows one stays until the mix repeats it; very long texts pass whole; no documents, no rows; further columns are
+carried along, whatever their names, up to the last stage.  What a stage wrote goes as soon as the next one has read it;
+the last stage's table is the result and stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard_join, mixing, pieces, quality, secrets_scan
-from tidelog.llm.common import shared_folder, table
+from tidelog.llm.common import remove, shared_folder, table
 from tidelog.llm.queries import piece_model
 
 
@@ -46,6 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
 
 
