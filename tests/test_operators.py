@@ -64,8 +64,69 @@ def test_fragments(spark):
     got = {(r.start, r.stop): list(r.seqs) for r in tombstones.fragments(t).collect()}
     assert got == {("a", "c"): [5], ("c", "e"): [20, 5], ("e", "g"): [20]}
     p = spark.createDataFrame([("x", k, 1) for k in "bcdfz"], "cf string, key string, seq long")
-    for limit in (100, 0):
-        assert {r.key: r.cover for r in tombstones.cover(p, t, limit).collect()} == {"b": 5, "c": 20, "d": 20, "f": 20, "z": None}
+    for bounds in (["a", "c", "e", "g"], ["d"], ["b", "f"], None):
+        buckets = bounds and tombstones.Buckets(bounds)
+        assert {(r.start, r.stop): list(r.seqs) for r in tombstones.fragments(t, buckets).collect()} == got
+        assert {r.key: r.cover for r in tombstones.cover(p, t, buckets).collect()} == {"b": 5, "c": 20, "d": 20, "f": 20, "z": None}
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_cover_equals_brute_force_in_many_buckets(spark, binary):
+    r = random.Random(7)
+    name = (lambda i: f"k{i:04d}é".encode()) if binary else (lambda i: f"k{i:04d}é")
+    tombs = []
+    for i in range(400):
+        a = r.randrange(1000)
+        tombs.append((r.choice("xy"), name(a), name(a + r.choice((1, 3, 40, 900))), i))
+    kind = "binary" if binary else "string"
+    t = spark.createDataFrame([(c, bytearray(a) if binary else a, bytearray(b) if binary else b, s) for c, a, b, s in tombs], f"cf string, begin {kind}, end {kind}, tseq long")
+    keys = [(c, name(i), i) for c in "xyz" for i in range(0, 2000, 3)]
+    p = spark.createDataFrame([(c, bytearray(k) if binary else k, s) for c, k, s in keys], f"cf string, key {kind}, seq long")
+    buckets = tombstones.Buckets.of(t)
+    assert len(buckets.coarse) > 4
+    covered = tombstones.cover(p, t, buckets)
+    assert "NestedLoop" not in covered._jdf.queryExecution().toString() and "Cartesian" not in covered._jdf.queryExecution().toString()
+    want = {(c, k): max((s for f, a, b, s in tombs if f == c and a <= k < b), default=None) for c, k, _ in keys}
+    assert {(x.cf, bytes(x.key) if binary else x.key): x.cover for x in covered.collect()} == want
+    cells = tombstones.fragments(t, buckets).collect()
+    assert {(x.cf, bytes(x.start) if binary else x.start): list(x.seqs) for x in cells} == {
+        (f, a): sorted((s for g, b, e, s in tombs if g == f and b <= a < e), reverse=True) for f in "xy" for a in sorted({z for g, b, e, _ in tombs if g == f for z in (b, e)}) if any(g == f and b <= a < e for g, b, e, _ in tombs)
+    }
+
+
+def test_hot_counter_is_folded_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(visibility, "STRETCH", 7)
+    rows = ops(11, 600, 3, {"MERGE": 90, "PUT": 6, "DELETE": 4}, lambda r: r.randrange(1000))
+    assert live(visibility.resolve(log(spark, rows, "long"), merge=merge.Add())) == fold(rows)
+    assert live(visibility.resolve(log(spark, rows, "long"), 311, merge=merge.Add())) == fold(rows, 311)
+
+
+def test_newest_merge_without_an_operator_is_refused(spark):
+    with pytest.raises(Exception, match="MergeOperatorNotConfigured"):
+        visibility.resolve(log(spark, [("PUT", "a", "1"), ("MERGE", "a", "2")])).collect()
+    assert live(visibility.resolve(log(spark, [("MERGE", "a", "1"), ("PUT", "a", "2")]))) == {"a": "2"}
+
+
+def test_as_of_pairs_no_probe_with_other_versions(spark):
+    r = random.Random(3)
+    puts = [("x", f"k{r.randrange(5)}", i, r.choice(("PUT", "DELETE")), f"v{i}", None) for i in range(1, 300)]
+    probes = [("x", f"k{r.randrange(6)}", r.randrange(320), f"p{i}") for i in range(100)] + [("y", "k1", 5, "p"), ("x", "k1", None, "q")]
+    df = spark.createDataFrame(puts, LOG.format("string"))
+    found = visibility.as_of(spark.createDataFrame(probes, "cf string, key string, at long, seq string"), df)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for c, k, at, name in probes:
+        best = max((s for f, key, s, op, _, _ in puts if at is not None and f == c and key == k and op == "PUT" and s <= at), default=None)
+        want[name] = (best, best and f"v{best}")
+    assert {x.seq: (x.found_seq, x.value) for x in found.collect()} == want
+
+
+def test_rewrite_reads_the_log_once(spark, tmp_path):
+    rows = ops(12, 200, 20, {"MERGE": 50, "PUT": 30, "DELETE": 20}, lambda r: r.randrange(9))
+    log(spark, rows, "long").write.parquet(f"{tmp_path}/log")
+    out = compaction.rewrite(spark.read.parquet(f"{tmp_path}/log").filter("op <> 'RANGE_DELETE'"), 100, merge.Add(), has_ranges=False)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_merges(spark):

@@ -5,7 +5,7 @@ s_min is the oldest pinned snapshot (the newest sequence if none is pinned): rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,40 +23,61 @@ def drop_shadowed(points: DataFrame, s_min: int) -> DataFrame:
     return points.withColumn("newer", newer).filter(F.col("newer").isNull() | (F.col("newer") > s_min)).drop("newer")
 
 
+def _held(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """keys with cover: not null where the range of a file (cf, smallest, largest) holds the key."""
+    after = F.concat(F.col("largest"), F.lit(b"\0") if str(files.schema["largest"].dataType) == "BinaryType()" else F.lit("\0"))
+    return tombstones.cover(keys, files.select("cf", F.col("smallest").alias("begin"), after.alias("end"), F.lit(1).alias("tseq")))
+
+
 def drop_tombstones(points: DataFrame, s_min: int, deeper: DataFrame | None = None) -> DataFrame:
     """Without deletes at or before s_min whose key no deeper file may hold (deeper: cf, smallest, largest)."""
     dead = F.col("op").isin(DELETE, SINGLE_DELETE) & (F.col("seq") <= s_min)
     if deeper is None:
         return points.filter(~dead)
-    on = (F.col("p.cf") == F.col("d.cf")) & (F.col("p.key") >= F.col("d.smallest")) & (F.col("p.key") <= F.col("d.largest"))
-    rest = points.filter(dead).alias("p").join(deeper.alias("d"), on, "left_semi")
-    return points.filter(~dead).unionByName(rest)
+    return _held(points, deeper).filter(~dead | F.col("cover").isNotNull()).drop("cover")
 
 
 def collapse(points: DataFrame, s_min: int, merge: MergeOperator, bottom: bool = True) -> DataFrame:
-    """Folds each key's operands at or before s_min: onto their base, or at the bottom onto nothing, into one PUT;
-    else, if the operator can, into one operand.  Rows above s_min keep their own sequences."""
-    low, high = points.filter(F.col("seq") <= s_min), points.filter(F.col("seq") > s_min)
-    ends = F.max(F.when(F.col("op").isin(*_ENDS), F.col("seq"))).over(W.partitionBy("cf", "key"))
-    newest_op = F.max_by("op", "seq").over(W.partitionBy("cf", "key"))
-    marked = low.withColumn("base_seq", ends).withColumn("newest_op", newest_op).filter(F.col("base_seq").isNull() | (F.col("seq") >= F.col("base_seq")))
-    plain, runs = marked.filter(F.col("newest_op") != MERGE), marked.filter(F.col("newest_op") == MERGE)
+    """Of keys with merges, folds the operands at or before s_min: onto their base, or at the bottom onto nothing, into one
+    PUT; else, if the operator can, into one operand.  Rows above s_min keep their own sequences.  Of other keys, versions that
+    have a newer one at or before s_min go.  merged marks rows of keys with merges.
+
+    All flags are windows on the key, and the folding an aggregate on it, so the log is read and shuffled once."""
+    key, low = W.partitionBy("cf", "key"), F.col("seq") <= s_min
+    marked = (
+        points.withColumn("merged", F.max((F.col("op") == MERGE).cast("int")).over(key) == 1)
+        .withColumn("base_seq", F.max(F.when(low & F.col("op").isin(*_ENDS), F.col("seq"))).over(key))
+        .withColumn("newest", F.max(F.when(low, F.struct("seq", "op"))).over(key))
+        .withColumn("newer", F.lag("seq").over(key.orderBy(F.col("seq").desc())))
+    )
+    shadowed = ~F.col("merged") & F.col("newer").isNotNull() & (F.col("newer") <= s_min)
+    below = F.col("merged") & low & F.col("base_seq").isNotNull() & (F.col("seq") < F.col("base_seq"))
     foldable = F.lit(True) if bottom or merge.associative else F.col("base_seq").isNotNull()
-    operand = F.when(F.col("op") == MERGE, F.col("value"))
-    done = runs.filter(foldable).groupBy("cf", "key").agg(
-        F.max("seq").alias("seq"), F.max(F.when(F.col("op") == PUT, F.struct("value"))).alias("base"), F.max("base_seq").alias("base_seq"), merge.operands(operand, F.col("seq")).alias("operands")
+    run = F.col("merged") & low & (F.col("newest.op") == MERGE) & foldable
+    # the rows of a run are one group, every other row is its own
+    dealt = marked.filter(~shadowed & ~below).withColumn("run", run).withColumn("group", F.when(F.col("run"), F.lit(-1)).otherwise(F.col("seq")))
+    operand = F.when(F.col("run") & (F.col("op") == MERGE), F.col("value"))
+    done = dealt.groupBy("cf", "key", "group").agg(
+        F.max("seq").alias("seq"),
+        F.max("op").alias("op"),
+        F.max(F.struct("value")).alias("own"),
+        F.max("run").alias("run"),
+        F.max("merged").alias("merged"),
+        F.max(F.when(F.col("op") == PUT, F.struct("value"))).alias("base"),
+        F.max("base_seq").alias("base_seq"),
+        merge.operands(operand, F.col("seq")).alias("operands"),
     )
     whole = F.lit(True) if bottom else F.col("base_seq").isNotNull()
-    value = F.when(whole, F.coalesce(merge.full(F.col("base")["value"], F.col("operands")), F.col("base")["value"])).otherwise(merge.partial(F.col("operands")))
-    made = done.select("cf", "key", "seq", F.when(whole, F.lit(PUT)).otherwise(F.lit(MERGE)).alias("op"), value.cast(points.schema["value"].dataType).alias("value"))
-    columns = ["cf", "key", "seq", "op", "value"]
-    return high.select(columns).unionByName(plain.select(columns)).unionByName(runs.filter(~foldable).select(columns)).unionByName(made)
+    base = F.col("base")["value"]
+    value = F.when(whole, F.coalesce(merge.full(base, F.col("operands")), base)).otherwise(merge.partial(F.col("operands"))).cast(points.schema["value"].dataType)
+    op = F.when(F.col("run"), F.when(whole, F.lit(PUT)).otherwise(F.lit(MERGE))).otherwise(F.col("op"))
+    return done.select("cf", "key", "seq", op.alias("op"), F.when(F.col("run"), value).otherwise(F.col("own")["value"]).alias("value"), "merged")
 
 
-def apply_filter(points: DataFrame, how: CompactionFilter, level: int, s_min: int | None) -> DataFrame:
-    """The filter on the newest PUT of each key, unless a live snapshot (s_min) still sees it."""
+def apply_filter(points: DataFrame, how: CompactionFilter, level: int, s_min: int | None, where: Column | None = None) -> DataFrame:
+    """The filter on the newest PUT of each key, unless a live snapshot (s_min) still sees it; where: on these rows only."""
     first = F.row_number().over(W.partitionBy("cf", "key").orderBy(F.col("seq").desc())) == 1
-    due = first & (F.col("op") == PUT)
+    due = first & (F.col("op") == PUT) & (F.lit(True) if where is None else where)
     due = due if s_min is None else due & (F.col("seq") > s_min)
     marked = points.withColumn("due", due)
     kept = marked.filter(~(F.col("due") & how.remove(level, F.col("key"), F.col("value"))))
@@ -73,14 +94,16 @@ def rewrite(
     bottom: bool = True,
     keep_tombstones: bool = False,
     deeper: DataFrame | None = None,
+    has_ranges: bool = True,
 ) -> DataFrame:
-    """The log with everything dropped that no read at or after s_min needs.
+    """The log with everything dropped that no read at or after s_min needs.  has_ranges: from the manifest; without, no branch
+    for range deletes is planned.
 
     Filters see each value once a call; values that merges derive are filtered at the bottom only."""
     columns = ["cf", "key", "seq", "op", "value", "end_key"]
     points, ranges = log.filter(F.col("op") != RANGE_DELETE).drop("end_key"), log.filter(F.col("op") == RANGE_DELETE)
-    old = tombstones.ranges(ranges.filter(F.col("seq") <= s_min))
-    points = tombstones.uncovered(points, old)
+    if has_ranges:
+        points = tombstones.uncovered_log(points, tombstones.ranges(ranges.filter(F.col("seq") <= s_min)))
     if how is not None and merge is not None:
         open_ = F.col("op") == MERGE if not live_snapshot else (F.col("op") == MERGE) & (F.col("seq") > s_min)
         points = points.filter(~open_ | how.keep_operand(level, F.col("key"), F.col("value")))
@@ -88,19 +111,17 @@ def rewrite(
         points = drop_shadowed(points, s_min)
         points = points if how is None else apply_filter(points, how, level, s_min if live_snapshot else None)
     else:
-        plain_keys = points.withColumn("derived", F.max((F.col("op") == MERGE).cast("int")).over(W.partitionBy("cf", "key")) == 1)
-        derived = collapse(plain_keys.filter("derived").drop("derived"), s_min, merge, bottom)
-        rest = drop_shadowed(plain_keys.filter("not derived").drop("derived"), s_min)
+        points = collapse(points, s_min, merge, bottom)
         if how is not None:
-            rest = apply_filter(rest, how, level, s_min if live_snapshot else None)
-            derived = apply_filter(derived, how, level, s_min if live_snapshot else None) if bottom else derived
-        points = rest.unionByName(derived)
+            points = apply_filter(points, how, level, s_min if live_snapshot else None, None if bottom else ~F.col("merged"))
+        points = points.drop("merged")
     if bottom and not keep_tombstones:
         points = drop_tombstones(points, s_min)
         ranges = ranges.filter(F.col("seq") > s_min)
     elif deeper is not None and not keep_tombstones:
         points = drop_tombstones(points, s_min, deeper)
-    return points.withColumn("end_key", F.lit(None).cast(log.schema["end_key"].dataType)).select(columns).unionByName(ranges.select(columns))
+    points = points.withColumn("end_key", F.lit(None).cast(log.schema["end_key"].dataType)).select(columns)
+    return points.unionByName(ranges.select(columns)) if has_ranges else points
 
 
 def partial_merges(log: DataFrame, merge: MergeOperator, by: str = "file_no") -> DataFrame:
@@ -134,8 +155,7 @@ def overlaps(files: DataFrame, others: DataFrame) -> DataFrame:
 
 def base_level_keys(keys: DataFrame, deeper: DataFrame) -> DataFrame:
     """Keys that no deeper file's range holds."""
-    on = (F.col("k.cf") == F.col("d.cf")) & (F.col("k.key") >= F.col("d.smallest")) & (F.col("k.key") <= F.col("d.largest"))
-    return keys.alias("k").join(deeper.alias("d"), on, "left_anti")
+    return _held(keys, deeper).filter("cover is null").drop("cover")
 
 
 def fifo_evict(files: DataFrame, budget: int) -> DataFrame:

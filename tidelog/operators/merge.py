@@ -18,7 +18,8 @@ def _two_to_64() -> Column:
 class MergeOperator:
     """operands() aggregates the operands of a key (nulls are other rows); full() puts them on the base.
 
-    associative: operands may be combined without a base, so segments can be collapsed early."""
+    associative: operands may be combined without a base, in any grouping, so stretches can be folded early; combine() then
+    aggregates what operands() gave for them."""
 
     name = "operator"
     associative = False
@@ -29,6 +30,9 @@ class MergeOperator:
     def full(self, base: Column, operands: Column) -> Column:
         raise NotImplementedError
 
+    def combine(self, folds: Column) -> Column:
+        return F.sum(folds)
+
     def partial(self, operands: Column) -> Column:
         """The one operand that stands for several."""
         return operands
@@ -97,6 +101,9 @@ class Max(MergeOperator):
     def operands(self, value, seq):
         return F.max(value)
 
+    def combine(self, folds):
+        return F.max(folds)
+
     def full(self, base, operands):
         return F.greatest(base, operands)
 

@@ -1,20 +1,23 @@
 """Range tombstones [begin, end) at a sequence number, as interval operators.
 
-Tombstones are (cf, begin, end, tseq).  They are first swept into disjoint fragments, so a key meets one fragment at
-most.  Fragments up to BROADCAST_ROWS (counted, not guessed) are broadcast; more are joined by key
-bucket, so neither side is copied to every task.
+Tombstones are (cf, begin, end, tseq).  Keys are cut into buckets at a sample of the tombstones' ends.  A tombstone is cut
+into the pieces that it has in the buckets of its two ends; the buckets between are covered as a whole and need their
+newest tombstone only.  A bucket's pieces are one row, so a key meets them by a join with namespace and bucket as its
+equalities, whatever the sizes: Spark may broadcast the smaller side or shuffle both.  Any bounds give the same answer.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schema import RANGE_DELETE
 
-BROADCAST_ROWS = 20_000
-BUCKETS = 256
+#: Bounds of buckets are taken from so many sampled ends; of these every FINE-th cuts first.
+SAMPLE, FINE = 4096, 64
 
 
 def ranges(log: DataFrame) -> DataFrame:
@@ -23,49 +26,103 @@ def ranges(log: DataFrame) -> DataFrame:
     return rows.select("cf", F.col("key").alias("begin"), F.col("end_key").alias("end"), F.col("seq").alias("tseq"))
 
 
-def bucket_bounds(keys: DataFrame, column: str, buckets: int = BUCKETS) -> list:
-    """Up to buckets - 1 keys that cut a hashed sample of 16 * buckets keys into equal parts."""
-    sample = sorted(r[0] for r in keys.select(column).distinct().orderBy(F.xxhash64(column), column).limit(16 * buckets).collect())
-    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+def _array(keys: list) -> Column:
+    """The keys as one literal."""
+    if isinstance(keys[0], str):
+        return F.from_json(F.lit(json.dumps(keys)), "array<string>")
+    return F.transform(F.from_json(F.lit(json.dumps([bytes(k).hex() for k in keys])), "array<string>"), F.unhex)
+
+
+class Buckets:
+    """Buckets of keys between sorted bounds: which one a key is in is how many bounds are not above it."""
+
+    def __init__(self, bounds: list):
+        self.bounds = bounds
+        self.coarse = bounds[FINE - 1 :: FINE]
+        self.fine = [bounds[i * FINE : (i + 1) * FINE - 1] for i in range(len(self.coarse) + 1)]
+
+    @classmethod
+    def of(cls, tombs: DataFrame, sample: int = SAMPLE) -> Buckets:
+        """From the ends of least hash, sample of them at most: one job that reads the tombstones only."""
+        end = F.explode(F.array("begin", "end"))
+        least = tombs.select(end.alias("at")).distinct().orderBy(F.xxhash64("at"), "at").limit(sample)
+        return cls(sorted(r[0] for r in least.collect()))
+
+    def at(self, key: Column) -> Column:
+        """The key's bucket: a search among the coarse bounds, then a count among the fine ones between two of them."""
+
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                fine = self.fine[low]
+                above = F.size(F.filter(_array(fine), lambda b: b <= key)) if len(fine) > 8 else sum(((key >= F.lit(b)).cast("int") for b in fine), F.lit(0))
+                return F.lit(low * FINE) + above
+            middle = (low + high) // 2
+            return F.when(key < F.lit(self.coarse[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+        return search(0, len(self.coarse)).cast("int")
 
 
-def bucket_of(column: Column, bounds: list) -> Column:
-    """How many of the bounds are not above the key."""
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= column)) if bounds else F.lit(0)
+def _cells(tombs: DataFrame, buckets: Buckets) -> DataFrame:
+    """(cf, bucket, start, stop) between neighbouring ends; the last of a bucket ends where the next bucket with ends begins."""
+    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct().withColumn("bucket", buckets.at(F.col("start")))
+    first = ends.groupBy("cf", "bucket").agg(F.min("start").alias("first"))
+    after = first.select("cf", "bucket", F.lead("first").over(W.partitionBy("cf").orderBy("bucket")).alias("after"))
+    inside = ends.withColumn("stop", F.lead("start").over(W.partitionBy("cf", "bucket").orderBy("start")))
+    return inside.join(after, ["cf", "bucket"]).select("cf", "bucket", "start", F.coalesce("stop", "after").alias("stop")).filter("stop is not null")
 
 
-def _few(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def _spread(tombs: DataFrame, buckets: Buckets) -> tuple[DataFrame, DataFrame]:
+    """Tombstones in the buckets of their ends, and (cf, low, high, tseq) of those over all of the buckets low to high."""
+    marked = tombs.withColumn("low", buckets.at(F.col("begin"))).withColumn("high", buckets.at(F.col("end")))
+    ends = marked.withColumn("bucket", F.explode(F.array_distinct(F.array("low", "high")))).drop("low", "high")
+    whole = marked.filter("high - low > 1").select("cf", (F.col("low") + 1).alias("low"), (F.col("high") - 1).alias("high"), "tseq")
+    return ends, whole
 
 
-def fragments(tombs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def fragments(tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     """(cf, start, stop, seqs descending): disjoint intervals between neighbouring ends, with all that cover them."""
-    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct()
-    cells = ends.withColumn("stop", F.lead("start").over(W.partitionBy("cf").orderBy("start"))).filter("stop is not null")
-    inside = (F.col("c.cf") == F.col("t.cf")) & (F.col("t.begin") <= F.col("c.start")) & (F.col("t.end") >= F.col("c.stop"))
-    if _few(tombs, broadcast_rows):
-        held = cells.alias("c").join(F.broadcast(tombs.alias("t")), inside)
-    else:  # a cell meets only the tombstones of its start's bucket
-        bounds = bucket_bounds(ends, "start")
-        spread = tombs.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("begin"), bounds), bucket_of(F.col("end"), bounds))))
-        dealt = cells.withColumn("bucket", bucket_of(F.col("start"), bounds))
-        held = dealt.alias("c").join(spread.alias("t"), inside & (F.col("c.bucket") == F.col("t.bucket")))
-    return held.groupBy("c.cf", "c.start", "c.stop").agg(F.sort_array(F.collect_set("t.tseq"), asc=False).alias("seqs"))
-
-
-def cover(points: DataFrame, tombs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    buckets = buckets or Buckets.of(tombs)
+    cells, (ends, whole) = _cells(tombs, buckets), _spread(tombs, buckets)
+    inside = (F.col("t.begin") <= F.col("c.start")) & (F.col("t.end") >= F.col("c.stop")) & (F.col("c.cf") == F.col("t.cf")) & (F.col("c.bucket") == F.col("t.bucket"))
+    near = cells.alias("c").join(ends.alias("t"), inside).select("c.cf", "c.start", "c.stop", "t.tseq")
+    over = whole.withColumn("bucket", F.explode(F.sequence("low", "high"))).select("cf", "bucket", "tseq")
+    far = cells.join(over, ["cf", "bucket"]).select("cf", "start", "stop", "tseq")
+    return near.unionByName(far).groupBy("cf", "start", "stop").agg(F.sort_array(F.collect_set("tseq"), asc=False).alias("seqs"))
+
+
+def pieces(tombs: DataFrame, buckets: Buckets) -> DataFrame:
+    """(cf, bucket, pieces): what a bucket's keys have to look at, as (begin, end, tseq); nulls are open ends."""
+    marked = tombs.withColumn("low", buckets.at(F.col("begin"))).withColumn("high", buckets.at(F.col("end")))
+    near = marked.withColumn("bucket", F.explode(F.array_distinct(F.array("low", "high"))))
+    near = near.select("cf", "bucket", F.when(F.col("bucket") == F.col("low"), F.col("begin")).alias("begin"), F.when(F.col("bucket") == F.col("high"), F.col("end")).alias("end"), "tseq")
+    # of equal stretches the newest is enough before they are spread
+    whole = marked.filter("high - low > 1").groupBy("cf", "low", "high").agg(F.max("tseq").alias("tseq")).withColumn("bucket", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)))
+    nothing = F.lit(None).cast(tombs.schema["begin"].dataType)
+    every = near.unionByName(whole.select("cf", "bucket", nothing.alias("begin"), nothing.alias("end"), "tseq"))
+    best = every.groupBy("cf", "bucket", "begin", "end").agg(F.max("tseq").alias("tseq"))
+    return best.groupBy("cf", "bucket").agg(F.collect_list(F.struct("begin", "end", "tseq")).alias("pieces"))
+
+
+def cover(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     """points with cover: the highest tseq over the key, null if none."""
-    cells = fragments(tombs, broadcast_rows).select("cf", "start", "stop", F.col("seqs")[0].alias("cover"))
-    if _few(cells, broadcast_rows):
-        on = (F.col("p.cf") == F.col("c.cf")) & (F.col("p.key") >= F.col("c.start")) & (F.col("p.key") < F.col("c.stop"))
-        return points.alias("p").join(F.broadcast(cells.alias("c")), on, "left").select("p.*", "c.cover")
-    bounds = bucket_bounds(cells, "start")
-    spread = cells.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("start"), bounds), bucket_of(F.col("stop"), bounds))))
-    dealt = points.withColumn("bucket", bucket_of(F.col("key"), bounds))
-    on = (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("p.key") >= F.col("c.start")) & (F.col("p.key") < F.col("c.stop"))
-    return dealt.alias("p").join(spread.alias("c"), on, "left").select("p.*", "c.cover").drop("bucket")
-
-
-def uncovered(points: DataFrame, tombs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows that no newer tombstone hides."""
-    return cover(points, tombs, broadcast_rows).filter(F.col("cover").isNull() | (F.col("seq") >= F.col("cover"))).drop("cover")
+    buckets = buckets or Buckets.of(tombs)
+    if not buckets.bounds:
+        return points.withColumn("cover", F.lit(None).cast(tombs.schema["tseq"].dataType))
+    names = [F.col(f"p.`{x}`") for x in points.columns]
+    dealt = points.withColumn("bucket", buckets.at(F.col("key")))
+    met = dealt.alias("p").join(pieces(tombs, buckets).alias("c"), (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")), "left")
+    over = F.filter("c.pieces", lambda x: (x["begin"].isNull() | (x["begin"] <= F.col("p.key"))) & (x["end"].isNull() | (x["end"] > F.col("p.key"))))
+    return met.select(*names, F.array_max(F.transform(over, lambda x: x["tseq"])).alias("cover"))
+
+
+def uncovered(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
+    """The rows that no newer tombstone hides.  Keys may repeat: a log of many versions has its keys covered first."""
+    return cover(points, tombs, buckets).filter(F.col("cover").isNull() | (F.col("seq") >= F.col("cover"))).drop("cover")
+
+
+def uncovered_log(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
+    """As uncovered, for many versions of each key: each key is covered once, and the versions are shuffled on (cf, key) only,
+    as what follows needs them."""
+    keys = cover(points.select("cf", "key").distinct(), tombs, buckets).filter("cover is not null")
+    met = points.join(keys, ["cf", "key"], "left")
+    return met.filter(F.col("cover").isNull() | (F.col("seq") >= F.col("cover"))).select(points.columns)

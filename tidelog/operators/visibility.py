@@ -33,19 +33,37 @@ def heads(points: DataFrame) -> DataFrame:
     return newest.select("cf", "key", "h.seq", "h.op", "h.value")
 
 
-def folded(points: DataFrame, merge: MergeOperator) -> DataFrame:
-    """(cf, key, seq, value): operands above the newest base, folded over it; keys whose newest base is a delete and
-    that have no operands are absent.  One shuffle on the key."""
+#: Operands of a key are folded by stretches of so many sequences first, so that a hot key is many groups.
+STRETCH = 1 << 16
+
+
+def _fold(points: DataFrame, merge: MergeOperator, by: list[str], operands: Column) -> DataFrame:
+    """Of each group: its newest base and what its operands above that fold to."""
     ends = F.when(F.col("op").isin(*ENDS), F.col("seq"))
-    base_seq = F.max(ends).over(W.partitionBy("cf", "key"))
-    used = points.withColumn("base_seq", base_seq).filter(F.col("base_seq").isNull() | (F.col("seq") >= F.col("base_seq")))
-    operand = F.when(F.col("op") == MERGE, F.col("value"))
-    done = used.groupBy("cf", "key").agg(
+    used = points.withColumn("base_seq", F.max(ends).over(W.partitionBy(*by))).filter(F.col("base_seq").isNull() | (F.col("seq") >= F.col("base_seq")))
+    return used.groupBy(*by).agg(
         F.max("seq").alias("seq"),
+        F.max("base_seq").alias("base_seq"),
         F.max(F.when(F.col("op") == PUT, F.struct("value"))).alias("base"),
-        F.count(operand).alias("n"),
-        merge.operands(operand, F.col("seq")).alias("operands"),
+        F.count(F.when(F.col("op") == MERGE, F.col("value"))).alias("n"),
+        operands.alias("operands"),
     )
+
+
+def folded(points: DataFrame, merge: MergeOperator) -> DataFrame:
+    """(cf, key, seq, value): operands above the newest base, folded over it; keys whose newest base is a delete and
+    that have no operands are absent.  Operators that need no order fold stretches of sequences first and these by key;
+    others take one shuffle on the key."""
+    operand = F.when(F.col("op") == MERGE, F.col("value"))
+    if merge.associative:
+        parts = _fold(points.withColumn("stretch", F.floor(F.col("seq") / STRETCH)), merge, ["cf", "key", "stretch"], merge.operands(operand, F.col("seq")))
+        # of the stretches since the newest base; only the oldest of these holds it
+        since = F.max("base_seq").over(W.partitionBy("cf", "key"))
+        used = parts.withColumn("since", since).filter(F.col("since").isNull() | (F.col("seq") >= F.col("since")))
+        newest = F.max(F.when(F.col("base_seq") == F.col("since"), F.struct(F.col("base").alias("b"))))["b"]
+        done = used.groupBy("cf", "key").agg(F.max("seq").alias("seq"), newest.alias("base"), F.sum("n").alias("n"), merge.combine(F.col("operands")).alias("operands"))
+    else:
+        done = _fold(points, merge, ["cf", "key"], merge.operands(operand, F.col("seq")))
     base = F.col("base")["value"]
     value = F.when(F.col("n") == 0, base).otherwise(F.coalesce(merge.full(base, F.col("operands")), base))
     return done.filter("n > 0 or base is not null").select("cf", "key", "seq", value.alias("value")).filter("value is not null")
@@ -60,9 +78,10 @@ def resolve(log: DataFrame, snapshot: int | None = None, merge: MergeOperator |
     if merge is None and has_merges:
         raise MergeOperatorNotConfigured
     if merge is not None and has_merges is not False:
-        return folded(points if tombs is None else tombstones.uncovered(points, tombs), merge)
+        return folded(points if tombs is None else tombstones.uncovered_log(points, tombs), merge)
     # a head that is covered hides all older versions too, so only heads are tested
-    live = heads(points).filter(F.col("op") == PUT)
+    unmerged = F.raise_error(F.lit("MergeOperatorNotConfigured: the newest record of a key is a merge")).cast("boolean")
+    live = heads(points).filter(F.when(F.col("op") == MERGE, unmerged).otherwise(F.col("op") == PUT) if has_merges is None else F.col("op") == PUT)
     live = live if tombs is None else tombstones.uncovered(live, tombs)
     return live.select("cf", "key", "seq", "value")
 
@@ -77,13 +96,17 @@ def get(log: DataFrame, keys: list, snapshot: int | None = None, **how) -> DataF
 
 
 def as_of(probe: DataFrame, log: DataFrame) -> DataFrame:
-    """probe (cf, key, at, ...) with the newest PUT of the key at or before at, null if there is none."""
-    puts = log.filter(F.col("op") == PUT).select("cf", "key", "seq", "value")
-    named = probe.columns
-    on = (F.col("p.cf") == F.col("l.cf")) & (F.col("p.key") == F.col("l.key")) & (F.col("l.seq") <= F.col("p.at"))
-    met = probe.alias("p").join(puts.alias("l"), on, "left")
-    best = met.groupBy(*(F.col(f"p.{c}") for c in named)).agg(F.max_by(F.struct("l.seq", "l.value"), "l.seq").alias("h"))
-    return best.select(*named, F.col("h.seq").alias("found_seq"), F.col("h.value").alias("value"))
+    """probe (cf, key, at, ...) with the newest PUT of the key at or before at, null if there is none.
+
+    Probes and puts are sorted together and each probe takes the last put before it, so no probe is paired with a key's
+    other versions."""
+    puts = log.filter(F.col("op") == PUT).select("cf", "key", F.col("seq").alias("at"), F.struct("seq", "value").alias("put"), F.lit(0).alias("kind"))
+    row = F.struct(*(F.col(f"`{c}`") for c in probe.columns))
+    asked = probe.select("cf", "key", "at", row.alias("row"), F.lit(1).alias("kind"))
+    both = puts.unionByName(asked, allowMissingColumns=True)
+    last = F.last("put", ignorenulls=True).over(W.partitionBy("cf", "key").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("found", last).filter("kind = 1")
+    return found.select(*(F.col(f"row.`{c}`") for c in probe.columns), F.col("found.seq").alias("found_seq"), F.col("found.value").alias("value"))
 
 
 def latest_sequences(log: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ query("kv_delete_range", RANGED.format(r=R_SQL, s=1 << 50))(lambda s, d: visibil
 query("kv_delete_range_snapshot", RANGED.format(r=R_SQL, s=S_BIG))(lambda s, d: visibility.resolve(plain(s, d), S_BIG).select(*KV))
 COVER = f"WITH {R_SQL}, k AS (SELECT DISTINCT key FROM p) SELECT key, max(tseq) AS cover FROM k JOIN r ON key >= b AND key < e GROUP BY key"
 query("kv_range_max_cover", COVER)(lambda s, d: tombstones.cover(points(s, d).select("cf", "key").distinct(), tombstones.ranges(plain(s, d))).filter("cover is not null").select("key", "cover"))
-query("kv_range_cover_bucketed", COVER)(lambda s, d: tombstones.cover(points(s, d).select("cf", "key").distinct(), tombstones.ranges(plain(s, d)), broadcast_rows=0).filter("cover is not null").select("key", "cover"))
+query("kv_range_cover_bucketed", COVER)(lambda s, d: tombstones.cover(points(s, d).select("cf", "key").distinct(), tombstones.ranges(plain(s, d)), tombstones.Buckets(["user000002", "user000011", "user000040"])).filter("cover is not null").select("key", "cover"))
 query("kv_tombstone_fragments", f"WITH {R_SQL}, ends AS (SELECT b AS start FROM r UNION SELECT e FROM r), c AS (SELECT start, lead(start) OVER (ORDER BY start) AS stop FROM ends) SELECT start, stop, count(DISTINCT tseq) AS n, max(tseq) AS newest FROM c JOIN r ON b <= start AND e >= stop WHERE stop IS NOT NULL GROUP BY start, stop")(lambda s, d: tombstones.fragments(tombstones.ranges(plain(s, d))).select("start", "stop", F.size("seqs").cast("long").alias("n"), F.col("seqs")[0].alias("newest")))
 
 # Merges
@@ -207,8 +207,8 @@ query(
 
 KEPT = "WITH {p}, x AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM p) SELECT key, seq, op, value FROM x WHERE (newer IS NULL OR newer > {s}) AND NOT (op = 'DELETE' AND seq <= {s})"
 ROW = ("key", "seq", "op", "value")
-query("compact_full", KEPT.format(p=P_SQL, s=1 << 50))(lambda s, d: compaction.rewrite(points(s, d), 1 << 50).select(*ROW))
-query("compact_pinned", KEPT.format(p=P_SQL, s=PINNED))(lambda s, d: compaction.rewrite(points(s, d), PINNED, live_snapshot=True).select(*ROW))
+query("compact_full", KEPT.format(p=P_SQL, s=1 << 50))(lambda s, d: compaction.rewrite(points(s, d), 1 << 50, has_ranges=False).select(*ROW))
+query("compact_pinned", KEPT.format(p=P_SQL, s=PINNED))(lambda s, d: compaction.rewrite(points(s, d), PINNED, live_snapshot=True, has_ranges=False).select(*ROW))
 query(
     "compact_tombstones",
     f"WITH {R_SQL}, z AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE p.key >= b AND p.key < e AND p.seq < tseq AND tseq <= {PINNED})), x AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM z) SELECT key, seq, op, value FROM x WHERE (newer IS NULL OR newer > {PINNED}) AND NOT (op = 'DELETE' AND seq <= {PINNED}) UNION ALL SELECT b, tseq, 'RANGE_DELETE', NULL FROM r WHERE tseq > {PINNED}",
@@ -218,32 +218,32 @@ query(
     f"WITH {W_SQL}, mk AS (SELECT DISTINCT key FROM w WHERE op = 'MERGE'), lo AS (SELECT * FROM w WHERE seq <= {PINNED} AND key IN (SELECT key FROM mk)), b AS (SELECT key, max(CASE WHEN op IN ('PUT', 'DELETE') THEN seq END) AS bseq, arg_max(op, seq) AS nop FROM lo GROUP BY key), u AS (SELECT lo.*, bseq, nop FROM lo JOIN b USING (key) WHERE bseq IS NULL OR seq >= bseq) "
     f"SELECT key, max(seq) AS seq, 'PUT' AS op, CAST(sum(v) AS BIGINT) AS value FROM u WHERE nop = 'MERGE' GROUP BY key UNION ALL SELECT key, seq, op, v FROM u WHERE nop = 'PUT' UNION ALL SELECT key, seq, op, v FROM w WHERE seq > {PINNED} AND key IN (SELECT key FROM mk) "
     f"UNION ALL SELECT key, seq, op, v FROM (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM w WHERE key NOT IN (SELECT key FROM mk)) WHERE (newer IS NULL OR newer > {PINNED}) AND NOT (op = 'DELETE' AND seq <= {PINNED})",
-)(lambda s, d: compaction.rewrite(counters(s, d), PINNED, merge=merge.Add(), live_snapshot=True).select(*ROW))
+)(lambda s, d: compaction.rewrite(counters(s, d), PINNED, merge=merge.Add(), live_snapshot=True, has_ranges=False).select(*ROW))
 
 FILTERED = "WITH " + P_SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM p) SELECT key, {value} AS value FROM h WHERE rn = 1 AND op = 'PUT' AND {keep}"
-_full = lambda s, d, how: compaction.rewrite(points(s, d), 1 << 50, how=how).select(*KV)
+_full = lambda s, d, how: compaction.rewrite(points(s, d), 1 << 50, how=how, has_ranges=False).select(*KV)
 query("filter_remove_prefix", FILTERED.format(value="value", keep="NOT starts_with(value, '{\"k\": 1')"))(lambda s, d: _full(s, d, RemoveByValuePrefix('{"k": 1')))
 query("filter_append_suffix", FILTERED.format(value="value || '!'", keep="TRUE"))(lambda s, d: _full(s, d, AppendSuffix("!")))
 query("filter_factory_prefix", FILTERED.format(value="value", keep="NOT starts_with(key, 'user00000')"))(lambda s, d: _full(s, d, prefix_drop_factory("user00000")(Context())))
 query(
     "filter_operand",
     f"WITH {W_SQL}, x AS (SELECT * FROM w WHERE NOT (op = 'MERGE' AND v % 2 = 0 AND v = 100)), b AS (SELECT key, max(CASE WHEN op IN ('PUT', 'DELETE') THEN seq END) AS bseq FROM x GROUP BY key) SELECT x.key, CAST(sum(CASE WHEN op <> 'DELETE' THEN v END) AS BIGINT) AS value FROM x JOIN b USING (key) WHERE bseq IS NULL OR x.seq >= bseq GROUP BY x.key HAVING sum(CASE WHEN op <> 'DELETE' THEN v END) IS NOT NULL",
-)(lambda s, d: compaction.rewrite(counters(s, d), 1 << 50, merge=merge.Add(), how=RemoveOperandByValue(100)).filter(F.col("op").isin(PUT, MERGE)).select(*KV))
+)(lambda s, d: compaction.rewrite(counters(s, d), 1 << 50, merge=merge.Add(), how=RemoveOperandByValue(100), has_ranges=False).filter(F.col("op").isin(PUT, MERGE)).select(*KV))
 
 # Transactions, recovery, checkpoints
 
 
-@query("txn_conflicts", f"WITH {P_SQL}, ws AS (SELECT seq AS txn_id, seq - 50 AS begin_seq, key FROM p WHERE seq % 97 = 0), l AS (SELECT key, max(seq) AS newest FROM p GROUP BY key) SELECT txn_id, ws.key FROM ws JOIN l USING (key) WHERE newest > begin_seq")
+@query("txn_conflicts", f"WITH {P_SQL}, ws AS (SELECT seq AS txn_id, seq - 50 AS begin_seq, key FROM p), l AS (SELECT key, max(seq) AS newest FROM p GROUP BY key) SELECT txn_id, ws.key FROM ws JOIN l USING (key) WHERE newest > begin_seq")
 def _conflicts(s, d):
     p = points(s, d)
-    ws = p.filter("seq % 97 = 0").select(F.col("seq").alias("txn_id"), (F.col("seq") - 50).alias("begin_seq"), "cf", "key")
+    ws = p.select(F.col("seq").alias("txn_id"), (F.col("seq") - 50).alias("begin_seq"), "cf", "key")
     return visibility.conflicts(ws, p).select("txn_id", "key")
 
 
-@query("txn_ryow", f"WITH {P_SQL}, base AS (SELECT key, arg_max(value, seq) AS value, arg_max(op, seq) AS op FROM p WHERE seq <= {PINNED} GROUP BY key), pend AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM p WHERE seq > {PINNED} AND seq <= {PINNED} + 200 GROUP BY key) SELECT key, CASE WHEN pend.op IS NULL THEN base.value ELSE pend.value END AS value FROM (SELECT * FROM base WHERE op = 'PUT') base FULL JOIN pend USING (key) WHERE coalesce(pend.op, base.op) = 'PUT'")
+@query("txn_ryow", f"WITH {P_SQL}, base AS (SELECT key, arg_max(value, seq) AS value, arg_max(op, seq) AS op FROM p WHERE seq <= {PINNED} GROUP BY key), pend AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM p WHERE seq > {PINNED} GROUP BY key) SELECT key, CASE WHEN pend.op IS NULL THEN base.value ELSE pend.value END AS value FROM (SELECT * FROM base WHERE op = 'PUT') base FULL JOIN pend USING (key) WHERE coalesce(pend.op, base.op) = 'PUT'")
 def _ryow(s, d):
     p = points(s, d)
-    pending = p.filter(F.col("seq").between(PINNED + 1, PINNED + 200)).withColumn("ord", F.col("seq"))
+    pending = p.filter(F.col("seq") > PINNED).withColumn("ord", F.col("seq"))
     return visibility.overlay(pending, visibility.resolve(p, PINNED, has_ranges=False)).select(*KV)
 
 
@@ -258,10 +258,10 @@ def _checkpoint(s, d):
     return visibility.resolve(frozen, has_ranges=False).join(later.select("seq"), "seq", "left_anti").select(*KV)
 
 
-@query("kv_window_versions", f"WITH {P_SQL} SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS version, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM p WHERE user_id < 50")
+@query("kv_window_versions", f"WITH {P_SQL} SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS version, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM p")
 def _versions(s, d):
     by = W.partitionBy("cf", "key").orderBy(F.col("seq").desc())
-    return scan.between(points(s, d), None, "user000050").select("key", "seq", F.row_number().over(by).cast("long").alias("version"), F.lag("seq").over(by).alias("newer"))
+    return points(s, d).select("key", "seq", F.row_number().over(by).cast("long").alias("version"), F.lag("seq").over(by).alias("newer"))
 
 
 @query("trailer_codec", "SELECT event_id + 1 AS seq, ((event_id + 1) << 8) | 1 AS trailer, event_id + 1 AS back, CAST(1 AS BIGINT) AS code, printf('%06d.log', event_id) AS name, event_id AS number FROM events")
