@@ -58,6 +58,8 @@ class Options:
     level0_stop_writes_trigger: int = 36
     max_bytes_for_level_base: int = 10 << 20
     fifo_max_table_files_size: int = 1 << 30
+    #: Files that compactions replaced stay so long for the readers that hold them.
+    obsolete_file_seconds: float = 600.0
     universal_size_ratio: int = 1
     universal_min_merge_width: int = 2
     universal_max_size_amplification_percent: int = 200
