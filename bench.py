@@ -1,4 +1,7 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+calibration is the time of a fixed job that has nothing to do with the queries: times from two machines compare after
+division by it."""
 
 from __future__ import annotations
 
@@ -13,6 +16,16 @@ HEADLINE = ("kv_latest", "kv_get_keys", "kv_snapshot", "kv_asof_probe", "kv_dele
 RUNS = 3
 
 
+def timed(f) -> float:
+    """Median of the warm runs."""
+    runs = []
+    for _ in range(RUNS + 1):
+        start = time.perf_counter()
+        f()
+        runs.append(time.perf_counter() - start)
+    return round(statistics.median(runs[1:]), 4)
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
@@ -28,15 +41,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from tidelog.queries import QUERIES
 
-    took = {}
-    for name in HEADLINE:
-        runs = []
-        for _ in range(RUNS + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - start)
-        took[name] = round(statistics.median(runs[1:]), 4)
-    print(json.dumps({"metric": "headline queries, sum of medians of three warm runs", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/"))}))
+    run = lambda df: df.write.format("noop").mode("overwrite").save()
+    calibration = timed(lambda: run(spark.range(4_000_000).selectExpr("id % 100003 k", "hash(id) v").groupBy("k").sum("v")))
+    took = {name: timed(lambda: run(QUERIES[name](spark, sf))) for name in HEADLINE}
+    print(json.dumps({"metric": "headline queries, sum of medians of three warm runs", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "calibration": calibration, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()
 
 

@@ -7,19 +7,17 @@ encodes what is left.
 Cases: null and empty texts fail the quality rules; null ids and sources are kept as they are; of copies, near copies and
 repeated rows one stays until the mix repeats it; very long texts pass whole; no documents, no rows; further columns are
 carried along, whatever their names, up to the last stage.  What a stage wrote goes as soon as the next one has read it;
-the last stage's table is the result and stays in the shared folder.
+the last stage's table is the result and goes with the session.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard_join, mixing, pieces, quality, secrets_scan
-from tidelog.llm.common import remove, shared_folder, table
+from tidelog.llm.common import remove, table
 from tidelog.llm.queries import piece_model
+from tidelog.session import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", jaccard_stag
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -166,6 +166,21 @@ def test_model(spark, seed, n, keys, kinds, counts):
         assert live(visibility.resolve(small, s, merge=how)) == fold(rows, s)
 
 
+def test_tail_of_late_files_and_merges(spark, tmp_path):
+    """Segments in any order of arrival, one of them twice, with range deletes and merges."""
+    from tidelog.streaming import tail
+
+    rows = ops(9, 800, 30, {"PUT": 30, "MERGE": 40, "DELETE": 15, "RANGE_DELETE": 15}, lambda r: r.randrange(100))
+    df, parts, folder = log(spark, rows, "long"), list(range(8)), f"file://{tmp_path}"
+    random.Random(2).shuffle(parts)
+    for k in [*parts, parts[0]]:
+        df.filter(f"floor((seq - 1) / 100) = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        tail.materialise(tail.follow(spark, f"{folder}/log", df.schema, 1), f"{folder}/out", f"{folder}/state").awaitTermination()
+    assert live(tail.view(spark, f"{folder}/out", df.schema, merge.Add())) == fold(rows)
+    assert tail.compact(spark, f"{folder}/out", f"{folder}/one", df.schema).count() < len(rows)
+    assert live(tail.view(spark, f"{folder}/one", df.schema, merge.Add())) == fold(rows)
+
+
 def test_filters(spark):
     df = log(spark, [("PUT", "a", "DELme"), ("PUT", "b", "keep-b"), ("PUT", "c", "DELme-too"), ("PUT", "d", "keep-d")])
     assert live(compaction.rewrite(df, 10, how=RemoveByValuePrefix("DEL"))) == {"b": "keep-b", "d": "keep-d"}
@@ -187,6 +202,11 @@ def test_codecs():
     for n in (0, 127, 128, 300, 2**64 - 1):
         assert codec.get_varint(codec.put_varint(n)) == (n, len(codec.put_varint(n)))
     assert codec.get_slice(codec.put_slice(b"abc")) == (b"abc", 4)
+    for width in (4, 8):
+        assert codec.get_fixed(b"x" + codec.put_fixed(300, width), 1, width) == 300
+    assert codec.short_successor(b"\xffab") == b"\xffb" and codec.short_successor(b"\xff") == b"\xff"
+    with pytest.raises(Corruption):
+        codec.get_fixed(b"abc", 0, 4)
     with pytest.raises(Corruption):
         codec.get_varint(b"\xff" * 11)
     with pytest.raises(InvalidArgument):
@@ -198,6 +218,10 @@ def test_codecs():
 def test_batches(spark):
     b = WriteBatch(sequence=7).put("a", "1").delete("b").merge("c", "2").delete_range("d", "e")
     assert [(r[1], r[2], r[3]) for r in b.rows()] == [("a", 7, "PUT"), ("b", 8, "DELETE"), ("c", 9, "MERGE"), ("d", 10, "RANGE_DELETE")]
+    c = WriteBatch(sequence=3).put("é", b"\x00\xff")
+    assert WriteBatch.of(c.contents()) == c and c.byte_size() == 12 + 1 + 2 + 2
+    with pytest.raises(Corruption):
+        WriteBatch.of(b"[1")
     seen = []
     b.iterate({"PUT": lambda *x: seen.append(x)}, count=4)
     assert seen == [("default", "a", "1", None)]

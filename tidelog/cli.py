@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 import time
 
@@ -32,14 +33,16 @@ def main(args: list[str]) -> int:
                 print(f"{r.key}\t{r.value}")
         elif command == "bench":
             n = int(rest[0]) if rest else 10_000
-            batch = WriteBatch()
-            for i in range(n):
+            draw, batch = random.Random(0xDEADBEEF), WriteBatch()
+            for _ in range(n):
+                i = draw.randrange(n)
                 batch.put(f"key{i:012d}", f"value-{i:012d}-payload")
             t = time.time()
             store.write(batch)
             wrote, t = time.time() - t, time.time()
-            found = store.scan().count()
-            print(f"{n} puts in {wrote:.2f} s, {found} read in {time.time() - t:.2f} s")
+            asked = [f"key{draw.randrange(n):012d}" for _ in range(n)]
+            found = store.multi_get(asked)
+            print(f"{n} random puts in {wrote:.2f} s, {sum(k in found for k in asked)} of {n} random gets found in {time.time() - t:.2f} s")
         else:
             print(__doc__)
             return 2

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import zlib  # noqa: F401  (its polynomial differs from CRC-32C; see crc32c)
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +74,23 @@ def separator(start: bytes, limit: bytes) -> bytes:
     return start
 
 
+def short_successor(key: bytes) -> bytes:
+    """A short key at or above the given one."""
+    n = next((i for i, b in enumerate(key) if b != 0xFF), None)
+    return key if n is None else key[:n] + bytes([key[n] + 1])
+
+
+def put_fixed(n: int, width: int = 8) -> bytes:
+    """Little-endian, in 4 or 8 bytes."""
+    return n.to_bytes(width, "little")
+
+
+def get_fixed(data: bytes, at: int = 0, width: int = 8) -> int:
+    if at + width > len(data):
+        raise Corruption("fixed integer")
+    return int.from_bytes(data[at : at + width], "little")
+
+
 def put_varint(n: int) -> bytes:
     out = bytearray()
     while n >= 0x80:
@@ -108,13 +124,18 @@ def get_slice(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return data[at : at + n], at + n
 
 
+#: CRC-32C's reversed polynomial, and the constant and rotation that stored checksums are masked with.
+CASTAGNOLI = 0x82F63B78
+MASK_DELTA, MASK_BITS = 0xA282EAD8, 15
+
+
 @functools.cache
 def _crc_table() -> list[int]:
     """Byte table of the Castagnoli polynomial, made from its rule."""
     out = []
     for i in range(256):
         for _ in range(8):
-            i = i >> 1 ^ (0x82F63B78 if i & 1 else 0)
+            i = i >> 1 ^ (CASTAGNOLI if i & 1 else 0)
         out.append(i)
     return out
 
@@ -127,9 +148,9 @@ def crc32c(data: bytes, crc: int = 0) -> int:
 
 
 def mask_crc(crc: int) -> int:
-    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    return ((crc >> MASK_BITS | crc << 32 - MASK_BITS) + MASK_DELTA) & 0xFFFFFFFF
 
 
 def unmask_crc(masked: int) -> int:
-    rot = (masked - 0xA282EAD8) & 0xFFFFFFFF
-    return (rot >> 17 | rot << 15) & 0xFFFFFFFF
+    rot = (masked - MASK_DELTA) & 0xFFFFFFFF
+    return (rot >> 32 - MASK_BITS | rot << MASK_BITS) & 0xFFFFFFFF

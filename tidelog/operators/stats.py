@@ -15,8 +15,8 @@ def properties(log: DataFrame, by: str = "file_no") -> DataFrame:
         count(DELETE, SINGLE_DELETE).alias("num_deletions"),
         count(MERGE).alias("num_merges"),
         count(RANGE_DELETE).alias("num_range_deletions"),
-        F.sum(F.length("key")).alias("raw_key_size"),
-        F.sum(F.coalesce(F.length(F.col("value").cast("string")), F.lit(0))).alias("raw_value_size"),
+        F.sum(F.octet_length("key")).alias("raw_key_size"),
+        F.sum(F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))).alias("raw_value_size"),
         F.min("seq").alias("min_seq"),
         F.max("seq").alias("max_seq"),
     )
@@ -27,5 +27,5 @@ def key_ranges(log: DataFrame, by: str = "file_no") -> DataFrame:
 
 
 def memory_usage(log: DataFrame) -> DataFrame:
-    size = F.length("key") + F.coalesce(F.length(F.col("value").cast("string")), F.lit(0)) + 8
+    size = F.octet_length("key") + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0)) + 8
     return log.groupBy("cf").agg(F.sum(size).alias("bytes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +18,14 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in the cluster's checkpoint folder, else in the warehouse.  It goes with the session."""
+    top = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -54,7 +55,20 @@ class WriteBatch:
         return len(self.records)
 
     def byte_size(self) -> int:
-        return 12 + sum(1 + sum(len(x) for x in (k, v, e) if isinstance(x, (str, bytes))) for _, _, k, v, e in self.records)
+        size = lambda x: len(x.encode()) if isinstance(x, str) else len(x) if isinstance(x, (bytes, bytearray)) else 0
+        return 12 + sum(1 + sum(map(size, (k, v, e))) for _, _, k, v, e in self.records)
+
+    def contents(self) -> bytes:
+        """The batch as bytes; of() reads it back."""
+        return json.dumps([self.sequence, self.records], default=lambda b: {"hex": bytes(b).hex()}).encode()
+
+    @classmethod
+    def of(cls, contents: bytes) -> WriteBatch:
+        try:
+            sequence, records = json.loads(contents, object_hook=lambda d: bytes.fromhex(d["hex"]))
+            return cls([tuple(r) for r in records], sequence)
+        except (ValueError, TypeError, KeyError) as e:
+            raise Corruption("write batch") from e
 
     def rows(self) -> Iterator[tuple]:
         """(cf, key, seq, op, value, end_key), each record one sequence."""
