@@ -43,10 +43,11 @@ class Buckets:
 
     @classmethod
     def of(cls, tombs: DataFrame, sample: int = SAMPLE) -> Buckets:
-        """From the ends of least hash, sample of them at most: one job that reads the tombstones only."""
-        end = F.explode(F.array("begin", "end"))
-        least = tombs.select(end.alias("at")).distinct().orderBy(F.xxhash64("at"), "at").limit(sample)
-        return cls(sorted(r[0] for r in least.collect()))
+        """From the ends of least hash, sample of them at most: one stage that reads the tombstones only.  The hash is of the
+        tombstone too, so that an end of very many does not crowd out the others."""
+        ends = tombs.select(F.explode(F.array("begin", "end")).alias("at"), "tseq")
+        least = ends.orderBy(F.xxhash64("at", "tseq"), "at").limit(sample).select("at")
+        return cls(sorted({r[0] if isinstance(r[0], str) else bytes(r[0]) for r in least.collect()}))
 
     def at(self, key: Column) -> Column:
         """The key's bucket: a search among the coarse bounds, then a count among the fine ones between two of them."""
