@@ -310,6 +310,13 @@ def test_mix_in_many_shards(spark, docs):
     assert all(abs(taken[s] - wanted[next(d for d in of if of[d] == s)]) <= mixing.BLOCK_WORDS * (size[s] / 300 + 4) for s in taken)
 
 
+def test_many_sources_are_mixed_alike(spark, docs, monkeypatch):
+    df = spark.createDataFrame([(d.doc_id, d.text, d.source) for d in docs], "doc_id long, text string, source string")
+    few = sorted(tuple(r) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(tuple(r) for r in mixing.mix(df).collect()) == few
+
+
 def test_remixed_rows_and_names(spark):
     clash = "_size long, _times long, _copy string, size long, row string, doc_id long, text string, source string, taken long"
     rows = [(7, 8, "c", 9, "r", i, "a b c d " * 10, "s", 1) for i in range(40)] + [(7, 8, "c", 9, "r", None, f"n{i} " * 40, None, 1) for i in range(40)]

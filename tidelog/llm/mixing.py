@@ -27,7 +27,9 @@ BLOCK_WORDS = 16
 SHARD_WORDS = 250_000
 #: Shards of a source that share a quota of their own, so that no window holds all shards of a source.
 FAN = 1024
-#: Copies of each source's row, so that a source with a third of all documents is joined in many tasks.
+#: So many sources are sent to every task, in place of a shuffle of all rows.
+FEW_SOURCES = 50_000
+#: Of more sources, copies of each source's row, so that a source with a third of all documents is joined in many tasks.
 SALTS = 64
 SEED = "mix-1"
 
@@ -100,7 +102,7 @@ def plan(sizes: DataFrame, share_percent: int = 150, most: int = 2, block: int =
     sources = apportion(sources, [], "target", blocks, [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "source_quota")
     sources = cut(sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).withColumn("_id", _source_id()).drop("source"))
     shards = cut(_dealt(sizes, sources).groupBy("_id", "shard").agg(F.sum("size").alias("shard_size")).withColumn("group", F.floor(F.col("shard") / fan)))
-    groups = shards.groupBy("_id", "group").agg(F.sum("shard_size").alias("group_size")).join(F.broadcast(sources.select("_id", "source_quota")), "_id")
+    groups = shards.groupBy("_id", "group").agg(F.sum("shard_size").alias("group_size")).join(sources.select("_id", "source_quota"), "_id")
     groups = apportion(groups, ["_id"], "group_size", F.col("source_quota"), [F.col("group")]).select("_id", "group", F.col("quota").alias("group_quota"))
     shards = apportion(shards.join(groups, ["_id", "group"]), ["_id", "group"], "shard_size", F.col("group_quota"), [F.col("shard")])
     n = F.ceil(F.col("shard_size") / block)
@@ -118,8 +120,11 @@ def plan(sizes: DataFrame, share_percent: int = 150, most: int = 2, block: int =
 def _dealt(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's facts and their shard."""
     keyed = sizes.withColumn("_id", _source_id()).withColumn("key", _hash32(F.lit("doc"), F.col("name"))).withColumn("_salt", F.col("key") % SALTS).drop("source")
+    facts = ["_id", "shards", "source_size", "target"]
+    if sources.count() <= FEW_SOURCES:  # a row of it is some tens of bytes
+        return keyed.join(F.broadcast(sources.select(facts)), "_id").withColumn("shard", F.col("key") % F.col("shards")).drop("_salt")
     salted = sources.select("_id", "shards", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    return keyed.join(salted, ["_id", "_salt"]).withColumn("shard", F.col("key") % F.col("shards"))
+    return keyed.join(salted, ["_id", "_salt"]).withColumn("shard", F.col("key") % F.col("shards")).drop("_salt")
 
 
 def _placed(sizes: DataFrame, sources: DataFrame, shards: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
