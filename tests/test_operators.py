@@ -215,6 +215,20 @@ def test_codecs():
     assert a <= codec.separator(a, b) < b
 
 
+def test_bloom_filters():
+    from tidelog.functions import bloom
+
+    assert bloom.bloom_hash(b"") == bloom.SEED and bloom.bloom_hash(b"abcd") != bloom.bloom_hash(b"abce")
+    # the published vectors of the hash
+    for data, want in ((b"\x62", 0xEF1345C4), (b"\xc3\x97", 0x5B663814), (b"\xe2\x99\xa5", 0x323C078F), (b"\xe1\x80\xb9\x32", 0xED21633A)):
+        assert bloom.bloom_hash(data, 0xBC9F1D34) == want
+    keys = [f"key{i}".encode() for i in range(5000)]
+    held = bloom.build(keys)
+    assert all(bloom.may_hold(k, held) for k in keys) and len(held) == 5000 * 10 // 8 + 1
+    assert sum(bloom.may_hold(f"other{i}".encode(), held) for i in range(5000)) < 150
+    assert not bloom.may_hold(b"a", b"\0") and bloom.may_hold(b"a", b"\0\0\x1f") and not bloom.may_hold(b"a", bloom.build([]))
+
+
 def test_batches(spark):
     b = WriteBatch(sequence=7).put("a", "1").delete("b").merge("c", "2").delete_range("d", "e")
     assert [(r[1], r[2], r[3]) for r in b.rows()] == [("a", 7, "PUT"), ("b", 8, "DELETE"), ("c", 9, "MERGE"), ("d", 10, "RANGE_DELETE")]

@@ -52,6 +52,7 @@ class Options:
     compression_per_level: tuple[str, ...] | None = None
     compaction_style: str = "level"
     write_buffer_rows: int = 1000
+    write_buffer_bytes: int = 4 << 20
     max_file_rows: int = 1_000_000
     level0_file_num_compaction_trigger: int = 4
     level0_slowdown_writes_trigger: int = 20
