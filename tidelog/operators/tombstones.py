@@ -8,8 +8,6 @@ equalities, whatever the sizes: Spark may broadcast the smaller side or shuffle
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,11 +24,9 @@ def ranges(log: DataFrame) -> DataFrame:
     return rows.select("cf", F.col("key").alias("begin"), F.col("end_key").alias("end"), F.col("seq").alias("tseq"))
 
 
-def _array(keys: list) -> Column:
-    """The keys as one literal."""
-    if isinstance(keys[0], str):
-        return F.from_json(F.lit(json.dumps(keys)), "array<string>")
-    return F.transform(F.from_json(F.lit(json.dumps([bytes(k).hex() for k in keys])), "array<string>"), F.unhex)
+def _sql(key) -> str:
+    """A key as a literal of its type."""
+    return f"CAST(X'{key.encode().hex()}' AS STRING)" if isinstance(key, str) else f"X'{bytes(key).hex()}'"
 
 
 class Buckets:
@@ -49,23 +45,25 @@ class Buckets:
         least = ends.orderBy(F.xxhash64("at", "tseq"), "at").limit(sample).select("at")
         return cls(sorted({r[0] if isinstance(r[0], str) else bytes(r[0]) for r in least.collect()}))
 
-    def at(self, key: Column) -> Column:
-        """The key's bucket: a search among the coarse bounds, then a count among the fine ones between two of them."""
+    def at(self, name: str) -> Column:
+        """The bucket of a key column: a search among the coarse bounds, then a count among the fine ones between two of them."""
 
-        def search(low: int, high: int) -> Column:
+        def search(low: int, high: int) -> str:
             if low == high:
-                fine = self.fine[low]
-                above = F.size(F.filter(_array(fine), lambda b: b <= key)) if len(fine) > 8 else sum(((key >= F.lit(b)).cast("int") for b in fine), F.lit(0))
-                return F.lit(low * FINE) + above
+                fine = [_sql(b) for b in self.fine[low]]
+                if not fine:
+                    return str(low * FINE)
+                # the column must not stand inside the lambda only: the optimiser would take the bucket for a constant then
+                return f"CASE WHEN `{name}` < {fine[0]} THEN {low * FINE} ELSE {low * FINE} + size(filter(array({', '.join(fine)}), b -> b <= `{name}`)) END"
             middle = (low + high) // 2
-            return F.when(key < F.lit(self.coarse[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+            return f"CASE WHEN `{name}` < {_sql(self.coarse[middle])} THEN {search(low, middle)} ELSE {search(middle + 1, high)} END"
 
-        return search(0, len(self.coarse)).cast("int")
+        return F.expr(search(0, len(self.coarse))).cast("int")
 
 
 def _cells(tombs: DataFrame, buckets: Buckets) -> DataFrame:
     """(cf, bucket, start, stop) between neighbouring ends; the last of a bucket ends where the next bucket with ends begins."""
-    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct().withColumn("bucket", buckets.at(F.col("start")))
+    ends = tombs.select("cf", F.explode(F.array("begin", "end")).alias("start")).distinct().withColumn("bucket", buckets.at("start"))
     first = ends.groupBy("cf", "bucket").agg(F.min("start").alias("first"))
     after = first.select("cf", "bucket", F.lead("first").over(W.partitionBy("cf").orderBy("bucket")).alias("after"))
     inside = ends.withColumn("stop", F.lead("start").over(W.partitionBy("cf", "bucket").orderBy("start")))
@@ -74,7 +72,7 @@ def _cells(tombs: DataFrame, buckets: Buckets) -> DataFrame:
 
 def _spread(tombs: DataFrame, buckets: Buckets) -> tuple[DataFrame, DataFrame]:
     """Tombstones in the buckets of their ends, and (cf, low, high, tseq) of those over all of the buckets low to high."""
-    marked = tombs.withColumn("low", buckets.at(F.col("begin"))).withColumn("high", buckets.at(F.col("end")))
+    marked = tombs.withColumn("low", buckets.at("begin")).withColumn("high", buckets.at("end"))
     ends = marked.withColumn("bucket", F.explode(F.array_distinct(F.array("low", "high")))).drop("low", "high")
     whole = marked.filter("high - low > 1").select("cf", (F.col("low") + 1).alias("low"), (F.col("high") - 1).alias("high"), "tseq")
     return ends, whole
@@ -93,7 +91,7 @@ def fragments(tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
 
 def pieces(tombs: DataFrame, buckets: Buckets) -> DataFrame:
     """(cf, bucket, pieces): what a bucket's keys have to look at, as (begin, end, tseq); nulls are open ends."""
-    marked = tombs.withColumn("low", buckets.at(F.col("begin"))).withColumn("high", buckets.at(F.col("end")))
+    marked = tombs.withColumn("low", buckets.at("begin")).withColumn("high", buckets.at("end"))
     near = marked.withColumn("bucket", F.explode(F.array_distinct(F.array("low", "high"))))
     near = near.select("cf", "bucket", F.when(F.col("bucket") == F.col("low"), F.col("begin")).alias("begin"), F.when(F.col("bucket") == F.col("high"), F.col("end")).alias("end"), "tseq")
     # of equal stretches the newest is enough before they are spread
@@ -110,7 +108,7 @@ def cover(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -
     if not buckets.bounds:
         return points.withColumn("cover", F.lit(None).cast(tombs.schema["tseq"].dataType))
     names = [F.col(f"p.`{x}`") for x in points.columns]
-    dealt = points.withColumn("bucket", buckets.at(F.col("key")))
+    dealt = points.withColumn("bucket", buckets.at("key"))
     met = dealt.alias("p").join(pieces(tombs, buckets).alias("c"), (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")), "left")
     over = F.filter("c.pieces", lambda x: (x["begin"].isNull() | (x["begin"] <= F.col("p.key"))) & (x["end"].isNull() | (x["end"] > F.col("p.key"))))
     return met.select(*names, F.array_max(F.transform(over, lambda x: x["tseq"])).alias("cover"))
