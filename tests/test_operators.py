@@ -245,6 +245,14 @@ def test_batches(spark):
     assert [(r.id, r.seq) for r in df.orderBy("id").collect()] == [(i, i + 11) for i in range(1000)]
 
 
+def test_sequences_of_many_rows_are_dense(spark, tmp_path):
+    """More rows than the ranges are sampled from, with columns that the counts do not need."""
+    spark.range(120_000).selectExpr("hash(id) k", "id", "repeat(cast(id as string), 3) v").write.parquet(f"{tmp_path}/in")
+    assign_sequences(spark.read.parquet(f"{tmp_path}/in"), ["k", "id"], last=5, partitions=9).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("k", "id").select("seq", "id", "v").collect()
+    assert [r.seq for r in rows] == list(range(6, 120_006)) and all(r.v == str(r.id) * 3 for r in rows)
+
+
 def test_pickers(spark):
     f = spark.createDataFrame([("x", 0, i, s, "a", "z", i, i) for i, s in enumerate((1000, 100, 50, 50), 1)], "cf string, level int, file_no long, size long, smallest string, largest string, min_seq long, max_seq long")
     assert sorted(r.file_no for r in compaction.fifo_evict(f, 150).collect()) == [1, 2]

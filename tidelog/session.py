@@ -6,7 +6,7 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,3 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a checkpoint in the folder that driver and executors share."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or scratch(spark, "checkpoints"))
+    return df.checkpoint(eager=True)

@@ -13,12 +13,14 @@ from pyspark.sql.window import Window as W
 
 from ..errors import Corruption
 from ..schema import DEFAULT_CF, DELETE, MERGE, OPS, PUT, RANGE_DELETE
+from ..session import written
 
 
 def assign_sequences(df: DataFrame, order: list[str], last: int = 0, partitions: int | None = None) -> DataFrame:
     """Adds seq = last + 1, + 2, ... in the given order: sorted ranges number their own rows, after the counts of those
-    before them, so no task sees all rows."""
-    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    before them, so no task sees all rows.  The ranges are written first: their bounds come from a sample that another run of
+    the same plan would draw anew."""
+    ranged = written(df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     numbered = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
