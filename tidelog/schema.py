@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from .errors import InvalidArgument
@@ -35,11 +37,24 @@ def log_schema(value: T.DataType | None = None, key: T.DataType | None = None) -
 CODECS = ("none", "snappy", "gzip", "zstd", "lz4")
 
 
+@dataclass(frozen=True)
+class KeyOrder:
+    """An order of keys of one's own, by a sort key: a key is stored as encode(key), and the byte order of these is the order.
+
+    The Column forms do the same on the executors.  Compaction filters see stored keys."""
+
+    name: str
+    encode: Callable[[str], str]
+    decode: Callable[[str], str]
+    encode_column: Callable[[Column], Column]
+    decode_column: Callable[[Column], Column]
+
+
 @dataclass
 class Options:
     """Engine options.  Those that only shape byte layouts elsewhere are accepted and have no effect here."""
 
-    comparator: str = "bytewise"
+    comparator: str | KeyOrder = "bytewise"
     create_if_missing: bool = True
     error_if_exists: bool = False
     read_only: bool = False
@@ -67,7 +82,7 @@ class Options:
     no_effect: dict = field(default_factory=lambda: {"paranoid_checks": False, "block_size": 4096, "block_restart_interval": 16, "max_open_files": 1000, "block_cache": None})
 
     def __post_init__(self) -> None:
-        if self.comparator not in ("bytewise", "reverse_bytewise"):
+        if not isinstance(self.comparator, KeyOrder) and self.comparator not in ("bytewise", "reverse_bytewise"):
             raise InvalidArgument(f"comparator {self.comparator}")
         if self.compaction_style not in ("level", "universal", "fifo"):
             raise InvalidArgument(f"compaction style {self.compaction_style}")
@@ -75,6 +90,10 @@ class Options:
             if codec not in CODECS:
                 raise InvalidArgument(f"compression {codec}")
 
+    @property
+    def order_name(self) -> str:
+        return self.comparator.name if isinstance(self.comparator, KeyOrder) else self.comparator
+
     def compression_for(self, level: int) -> str:
         per = self.compression_per_level
         return per[min(level, len(per) - 1)] if per else self.compression
