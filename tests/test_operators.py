@@ -94,6 +94,20 @@ def test_cover_equals_brute_force_in_many_buckets(spark, binary):
     }
 
 
+def test_wide_tombstones_over_many_buckets(spark):
+    """Tombstones over any number of whole buckets, against all pairs; the tombstones are read once."""
+    r, keys = random.Random(5), [f"k{i:03d}" for i in range(200)]
+    tombs = [(r.choice("xy"), *sorted(r.sample(keys, 2)), seq) for seq in r.sample(range(1, 10_000), 150)]
+    points = [(cf, key) for cf in "xyz" for key in [*keys, "a", "z"]]
+    want = {(cf, key): max((s for c, b, e, s in tombs if c == cf and b <= key < e), default=None) for cf, key in points}
+    t, p = spark.createDataFrame(tombs, "cf string, begin string, end string, tseq long"), spark.createDataFrame(points, "cf string, key string")
+    for buckets in (None, tombstones.Buckets(["k050"]), tombstones.Buckets(keys[::3]), tombstones.Buckets(keys)):
+        assert {(x.cf, x.key): x.cover for x in tombstones.cover(p, t, buckets).collect()} == want
+    wide = spark.createDataFrame([("x", "k000", "k199", 7)], t.schema)
+    plan = tombstones.pieces(wide, tombstones.Buckets(keys))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_hot_counter_is_folded_by_stretches(spark, monkeypatch):
     monkeypatch.setattr(visibility, "STRETCH", 7)
     rows = ops(11, 600, 3, {"MERGE": 90, "PUT": 6, "DELETE": 4}, lambda r: r.randrange(1000))

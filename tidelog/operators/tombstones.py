@@ -1,8 +1,8 @@
 """Range tombstones [begin, end) at a sequence number, as interval operators.
 
 Tombstones are (cf, begin, end, tseq).  Keys are cut into buckets at a sample of the tombstones' ends.  A tombstone is cut
-into the pieces that it has in the buckets of its two ends; the buckets between are covered as a whole and need their
-newest tombstone only.  A bucket's pieces are one row, so a key meets them by a join with namespace and bucket as its
+into the pieces that it has in the buckets of its two ends; the buckets between are covered as a whole, in runs of 2**level
+buckets, and need their newest tombstone only.  A bucket's pieces are one row, so a key meets them by a join with namespace and bucket as its
 equalities, whatever the sizes: Spark may broadcast the smaller side or shuffle both.  Any bounds give the same answer.
 """
 
@@ -89,17 +89,34 @@ def fragments(tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     return near.unionByName(far).groupBy("cf", "start", "stop").agg(F.sort_array(F.collect_set("tseq"), asc=False).alias("seqs"))
 
 
+def _whole(buckets: Buckets, begin: str) -> list[str]:
+    """The buckets strictly between low and high as (level, node), node covering the 2**level buckets from node * 2**level on:
+    two of a level at most, and null where there is none, so that a wide tombstone is some twenty rows and not all its buckets."""
+    out = []
+    for level in range(len(buckets.bounds).bit_length()):
+        # of [low + 1, high), the first and the last node that lie inside
+        first, end = f"shiftright(low + {1 << level}, {level})", f"shiftright(high, {level})"
+        for node, odd in ((first, first), (f"{end} - 1", end)):
+            out.append(f"IF({first} < {end} AND {odd} & 1 = 1, {_place(level, node, begin, begin)}, NULL)")
+    return out
+
+
+def _place(level: int, node: str, begin: str, end: str) -> str:
+    return f"named_struct('level', {level}, 'node', {node}, 'begin', {begin}, 'end', {end})"
+
+
 def pieces(tombs: DataFrame, buckets: Buckets) -> DataFrame:
-    """(cf, bucket, pieces): what a bucket's keys have to look at, as (begin, end, tseq); nulls are open ends."""
-    marked = tombs.withColumn("low", buckets.at("begin")).withColumn("high", buckets.at("end"))
-    near = marked.withColumn("bucket", F.explode(F.array_distinct(F.array("low", "high"))))
-    near = near.select("cf", "bucket", F.when(F.col("bucket") == F.col("low"), F.col("begin")).alias("begin"), F.when(F.col("bucket") == F.col("high"), F.col("end")).alias("end"), "tseq")
-    # of equal stretches the newest is enough before they are spread
-    whole = marked.filter("high - low > 1").groupBy("cf", "low", "high").agg(F.max("tseq").alias("tseq")).withColumn("bucket", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)))
-    nothing = F.lit(None).cast(tombs.schema["begin"].dataType)
-    every = near.unionByName(whole.select("cf", "bucket", nothing.alias("begin"), nothing.alias("end"), "tseq"))
-    best = every.groupBy("cf", "bucket", "begin", "end").agg(F.max("tseq").alias("tseq"))
-    return best.groupBy("cf", "bucket").agg(F.collect_list(F.struct("begin", "end", "tseq")).alias("pieces"))
+    """(cf, bucket, whole, pieces): what a bucket's keys have to look at: the newest tombstone over all of it, and (begin, end,
+    tseq) of those that end in it; nulls are open ends.  The tombstones are read once.  Expressions are SQL text, as so many
+    of them would take longer to build one by one than to run."""
+    nothing = f"CAST(NULL AS {tombs.schema['begin'].dataType.simpleString()})"
+    ends = [_place(0, "low", "`begin`", f"IF(low = high, `end`, {nothing})"), f"IF(low < high, {_place(0, 'high', nothing, '`end`')}, NULL)"]
+    marked = tombs.select("cf", "begin", "end", "tseq", buckets.at("begin").alias("low"), buckets.at("end").alias("high"))
+    spread = marked.selectExpr("cf", "tseq", f"inline(array_compact(array({', '.join(ends + _whole(buckets, nothing))})))")
+    best = spread.groupBy("cf", "level", "node", "begin", "end").agg(F.max("tseq").alias("tseq"))
+    dealt = best.selectExpr("cf", "begin", "end", "tseq", "explode(sequence(shiftleft(1, level) * node, shiftleft(1, level) * (node + 1) - 1)) AS bucket")
+    every = "`begin` IS NULL AND `end` IS NULL"
+    return dealt.groupBy("cf", "bucket").agg(F.expr(f"max(tseq) FILTER (WHERE {every})").alias("whole"), F.expr(f"collect_list(struct(`begin`, `end`, tseq)) FILTER (WHERE NOT ({every}))").alias("pieces"))
 
 
 def cover(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
@@ -111,7 +128,7 @@ def cover(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -
     dealt = points.withColumn("bucket", buckets.at("key"))
     met = dealt.alias("p").join(pieces(tombs, buckets).alias("c"), (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")), "left")
     over = F.filter("c.pieces", lambda x: (x["begin"].isNull() | (x["begin"] <= F.col("p.key"))) & (x["end"].isNull() | (x["end"] > F.col("p.key"))))
-    return met.select(*names, F.array_max(F.transform(over, lambda x: x["tseq"])).alias("cover"))
+    return met.select(*names, F.greatest("c.whole", F.array_max(F.transform(over, lambda x: x["tseq"]))).alias("cover"))
 
 
 def uncovered(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
