@@ -108,6 +108,31 @@ def test_wide_tombstones_over_many_buckets(spark):
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
 
 
+def test_coarse_bounds_are_cut_further_and_a_key_searches_its_steps(spark):
+    """Bounds given may leave all tombstones in one bucket; and a key compares with the log of a bucket's pieces, not with all."""
+    r, keys = random.Random(13), [f"k{i:04d}" for i in range(1200)]
+    tombs = []
+    for seq in r.sample(range(1, 10_000), 700):
+        a = r.randrange(1190)
+        tombs.append((r.choice("xy"), keys[a], keys[min(a + r.choice((1, 2, 5, 60, 1100)), 1199)], seq))
+    points = [(cf, key) for cf in "xyz" for key in [*keys, "a", "k0003x", "z"]]
+    want = {(cf, key): max((s for c, b, e, s in tombs if c == cf and b <= key < e), default=None) for cf, key in points}
+    t, p = spark.createDataFrame(tombs, "cf string, begin string, end string, tseq long"), spark.createDataFrame(points, "cf string, key string")
+    coarse = tombstones.Buckets(["a0"])
+    fine = tombstones.Buckets.of(t, given=coarse)
+    assert "a0" in fine.bounds and fine.exact and tombstones.Buckets.of(t, given=fine) is fine
+    few = tombstones.Buckets.of(t, 3, given=coarse)
+    assert len(few.bounds) <= 4 and not few.exact
+    for buckets in (coarse, few, tombstones.Buckets.of(t, 40)):
+        assert {(x.cf, x.key): x.cover for x in tombstones.cover(p, t, buckets).collect()} == want
+    rows = tombstones.steps(t, few).collect()
+    assert all([s.at or "" for s in x.steps] == sorted({s.at or "" for s in x.steps}) for x in rows)
+    assert max(len(x.steps) for x in rows) > 200 and max(len(x.jumps) for x in rows) <= 11
+    # bounds sampled from other tombstones are bounds like any others
+    other = spark.createDataFrame([("x", "b", "c", 1)], t.schema)
+    assert {(x.cf, x.key): x.cover for x in tombstones.cover(p, t, tombstones.Buckets.of(other)).collect()} == want
+
+
 def test_hot_counter_is_folded_by_stretches(spark, monkeypatch):
     monkeypatch.setattr(visibility, "STRETCH", 7)
     rows = ops(11, 600, 3, {"MERGE": 90, "PUT": 6, "DELETE": 4}, lambda r: r.randrange(1000))

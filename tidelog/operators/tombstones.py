@@ -1,9 +1,10 @@
 """Range tombstones [begin, end) at a sequence number, as interval operators.
 
-Tombstones are (cf, begin, end, tseq).  Keys are cut into buckets at a sample of the tombstones' ends.  A tombstone is cut
-into the pieces that it has in the buckets of its two ends; the buckets between are covered as a whole, in runs of 2**level
-buckets, and need their newest tombstone only.  A bucket's pieces are one row, so a key meets them by a join with namespace and bucket as its
-equalities, whatever the sizes: Spark may broadcast the smaller side or shuffle both.  Any bounds give the same answer.
+Tombstones are (cf, begin, end, tseq).  Keys are cut into buckets at a sample of the tombstones' ends; bounds that a caller
+gives are kept and cut further by it.  A tombstone is cut into the pieces that it has in the buckets of its two ends; the
+buckets between are covered as a whole, in runs of 2**level buckets.  A bucket's pieces become its steps, sorted and each with
+its newest tombstone, in one row, so a key meets them by a join with namespace and bucket as its equalities, whatever the
+sizes: Spark may broadcast the smaller side or shuffle both; the key then searches its step.  Any bounds give the same answer.
 """
 
 from __future__ import annotations
@@ -32,18 +33,24 @@ def _sql(key) -> str:
 class Buckets:
     """Buckets of keys between sorted bounds: which one a key is in is how many bounds are not above it."""
 
-    def __init__(self, bounds: list):
-        self.bounds = bounds
+    def __init__(self, bounds: list, source: DataFrame | None = None, exact: bool = False):
+        #: source: the tombstones that were sampled; exact: all of their ends are bounds
+        self.bounds, self.source, self.exact = bounds, source, exact
         self.coarse = bounds[FINE - 1 :: FINE]
         self.fine = [bounds[i * FINE : (i + 1) * FINE - 1] for i in range(len(self.coarse) + 1)]
 
     @classmethod
-    def of(cls, tombs: DataFrame, sample: int = SAMPLE) -> Buckets:
+    def of(cls, tombs: DataFrame, sample: int = SAMPLE, given: Buckets | None = None) -> Buckets:
         """From the ends of least hash, sample of them at most: one stage that reads the tombstones only.  The hash is of the
-        tombstone too, so that an end of very many does not crowd out the others."""
+        tombstone too, so that an end of very many does not crowd out the others.  Bounds given stay bounds; alone they may
+        leave nearly all tombstones and keys in one bucket."""
+        if given is not None and given.source is tombs:
+            return given
         ends = tombs.select(F.explode(F.array("begin", "end")).alias("at"), "tseq")
         least = ends.orderBy(F.xxhash64("at", "tseq"), "at").limit(sample).select("at")
-        return cls(sorted({r[0] if isinstance(r[0], str) else bytes(r[0]) for r in least.collect()}))
+        rows = least.collect()
+        own = () if given is None else given.bounds
+        return cls(sorted({b if isinstance(b, str) else bytes(b) for b in (*own, *(r[0] for r in rows))}), tombs, len(rows) < sample)
 
     def at(self, name: str) -> Column:
         """The bucket of a key column: a search among the coarse bounds, then a count among the fine ones between two of them."""
@@ -80,7 +87,7 @@ def _spread(tombs: DataFrame, buckets: Buckets) -> tuple[DataFrame, DataFrame]:
 
 def fragments(tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     """(cf, start, stop, seqs descending): disjoint intervals between neighbouring ends, with all that cover them."""
-    buckets = buckets or Buckets.of(tombs)
+    buckets = Buckets.of(tombs, given=buckets)
     cells, (ends, whole) = _cells(tombs, buckets), _spread(tombs, buckets)
     inside = (F.col("t.begin") <= F.col("c.start")) & (F.col("t.end") >= F.col("c.stop")) & (F.col("c.cf") == F.col("t.cf")) & (F.col("c.bucket") == F.col("t.bucket"))
     near = cells.alias("c").join(ends.alias("t"), inside).select("c.cf", "c.start", "c.stop", "t.tseq")
@@ -89,6 +96,21 @@ def fragments(tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     return near.unionByName(far).groupBy("cf", "start", "stop").agg(F.sort_array(F.collect_set("tseq"), asc=False).alias("seqs"))
 
 
+def _cells_covered(tombs: DataFrame, buckets: Buckets) -> DataFrame:
+    """(cf, bucket, seq) of the newest tombstone where every end is a bound: tombstones cover whole buckets, from low to before
+    high, and nothing is left to look at inside."""
+    nothing = f"CAST(NULL AS {tombs.schema['begin'].dataType.simpleString()})"
+    marked = tombs.select("cf", "tseq", (buckets.at("begin") - 1).alias("low"), buckets.at("end").alias("high"))
+    spread = marked.selectExpr("cf", "tseq", f"inline(array_compact(array({', '.join(_whole(buckets, nothing))})))")
+    best = spread.groupBy("cf", "level", "node").agg(F.max("tseq").alias("tseq"))
+    return _dealt(best, "cf", "tseq").groupBy("cf", "bucket").agg(F.max("tseq").alias("seq"))
+
+
+def _dealt(best: DataFrame, *names: str, into: str = "bucket") -> DataFrame:
+    """Nodes as one row for each bucket, or end, that they cover."""
+    return best.selectExpr(*names, f"explode(sequence(shiftleft(1, level) * node, shiftleft(1, level) * (node + 1) - 1)) AS {into}")
+
+
 def _whole(buckets: Buckets, begin: str) -> list[str]:
     """The buckets strictly between low and high as (level, node), node covering the 2**level buckets from node * 2**level on:
     two of a level at most, and null where there is none, so that a wide tombstone is some twenty rows and not all its buckets."""
@@ -105,30 +127,61 @@ def _place(level: int, node: str, begin: str, end: str) -> str:
     return f"named_struct('level', {level}, 'node', {node}, 'begin', {begin}, 'end', {end})"
 
 
+def _nodes(low: str, high: str) -> str:
+    """Of [low, high), the nodes (as in _whole) that make it up: two of a level at most, and no level that is wider than it."""
+    first, end = f"shiftright({low} + shiftleft(1, l) - 1, l)", f"shiftright({high}, l)"
+    node = lambda at, odd: f"IF({first} < {end} AND {odd} & 1 = 1, named_struct('level', l, 'node', {at}), NULL)"
+    return f"array_compact(flatten(transform(sequence(0, length(bin({high} - {low})) - 1), l -> array({node(first, first)}, {node(end + ' - 1', end)}))))"
+
+
 def pieces(tombs: DataFrame, buckets: Buckets) -> DataFrame:
-    """(cf, bucket, whole, pieces): what a bucket's keys have to look at: the newest tombstone over all of it, and (begin, end,
-    tseq) of those that end in it; nulls are open ends.  The tombstones are read once.  Expressions are SQL text, as so many
-    of them would take longer to build one by one than to run."""
+    """(cf, bucket, begin, end, tseq): the newest tombstone over each stretch of a bucket that one covers; nulls are open ends.
+    The tombstones are read once.  Expressions are SQL text, as so many of them would take longer to build one by one than to run."""
     nothing = f"CAST(NULL AS {tombs.schema['begin'].dataType.simpleString()})"
     ends = [_place(0, "low", "`begin`", f"IF(low = high, `end`, {nothing})"), f"IF(low < high, {_place(0, 'high', nothing, '`end`')}, NULL)"]
     marked = tombs.select("cf", "begin", "end", "tseq", buckets.at("begin").alias("low"), buckets.at("end").alias("high"))
     spread = marked.selectExpr("cf", "tseq", f"inline(array_compact(array({', '.join(ends + _whole(buckets, nothing))})))")
     best = spread.groupBy("cf", "level", "node", "begin", "end").agg(F.max("tseq").alias("tseq"))
-    dealt = best.selectExpr("cf", "begin", "end", "tseq", "explode(sequence(shiftleft(1, level) * node, shiftleft(1, level) * (node + 1) - 1)) AS bucket")
-    every = "`begin` IS NULL AND `end` IS NULL"
-    return dealt.groupBy("cf", "bucket").agg(F.expr(f"max(tseq) FILTER (WHERE {every})").alias("whole"), F.expr(f"collect_list(struct(`begin`, `end`, tseq)) FILTER (WHERE NOT ({every}))").alias("pieces"))
+    return _dealt(best, "cf", "begin", "end", "tseq")
+
+
+def steps(tombs: DataFrame, buckets: Buckets) -> DataFrame:
+    """(cf, bucket, jumps, steps): where a bucket's newest tombstone changes, as (at, seq) sorted by at; a first at of null is
+    the bucket's begin, a seq of null means none.  jumps are the powers of two that a search among the steps takes.
+
+    The ends are numbered in their order, and each piece is dealt to the runs of 2**level ends that make it up, so that a
+    bucket of n pieces takes n log n rows, none for a pair of pieces.  After the pieces one shuffle on cf and bucket is enough."""
+    ordered = W.partitionBy("cf", "bucket")
+    ends = pieces(tombs, buckets).selectExpr("*", "explode(array_compact(array(named_struct('at', `begin`, 'last', false), IF(`end` IS NULL, NULL, named_struct('at', `end`, 'last', true))))) AS x")
+    ranked = ends.select("cf", "bucket", "begin", "end", "tseq", "x.last", F.dense_rank().over(ordered.orderBy("x.at")).alias("rank")).withColumn("top", F.max("rank").over(ordered))
+    # a piece lies between the numbers of its ends; an open end is above all of them
+    spans = ranked.groupBy("cf", "bucket", "begin", "end").agg(F.expr("max(tseq) AS tseq"), F.expr("min(rank) AS low"), F.expr("max(IF(last, rank, IF(`end` IS NULL, top + 1, 0))) AS high"))
+    no_at, no_seq = (f"CAST(NULL AS {tombs.schema[x].dataType.simpleString()})" for x in ("begin", "tseq"))
+    row = lambda level, node, at, seq: f"named_struct('level', {level}, 'node', {node}, 'at', {at}, 'seq', {seq})"
+    marks = f"array({row(0, 'low', '`begin`', no_seq)}, IF(`end` IS NULL, NULL, {row(0, 'high', '`end`', no_seq)}))"
+    runs = f"transform({_nodes('low', 'high')}, x -> {row('x.level', 'x.node', no_at, 'tseq')})"
+    dealt = spans.selectExpr("cf", "bucket", f"inline(array_compact(concat({marks}, {runs})))")
+    best = dealt.groupBy("cf", "bucket", "level", "node").agg(F.max("seq").alias("seq"), F.max("at").alias("at"))
+    each = _dealt(best, "cf", "bucket", "seq", "at", into="rank")
+    stairs = each.groupBy("cf", "bucket", "rank").agg(F.max("at").alias("at"), F.max("seq").alias("seq"))
+    rows = stairs.groupBy("cf", "bucket").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("steps"))
+    return rows.selectExpr("cf", "bucket", "transform(sequence(length(bin(size(steps))) - 1, 0, -1), l -> shiftleft(1, l)) AS jumps", "steps")
 
 
 def cover(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
     """points with cover: the highest tseq over the key, null if none."""
-    buckets = buckets or Buckets.of(tombs)
+    buckets = Buckets.of(tombs, given=buckets)
     if not buckets.bounds:
         return points.withColumn("cover", F.lit(None).cast(tombs.schema["tseq"].dataType))
     names = [F.col(f"p.`{x}`") for x in points.columns]
     dealt = points.withColumn("bucket", buckets.at("key"))
-    met = dealt.alias("p").join(pieces(tombs, buckets).alias("c"), (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")), "left")
-    over = F.filter("c.pieces", lambda x: (x["begin"].isNull() | (x["begin"] <= F.col("p.key"))) & (x["end"].isNull() | (x["end"] > F.col("p.key"))))
-    return met.select(*names, F.greatest("c.whole", F.array_max(F.transform(over, lambda x: x["tseq"]))).alias("cover"))
+    held = _cells_covered(tombs, buckets) if buckets.exact else steps(tombs, buckets)
+    met = dealt.alias("p").join(held.alias("c"), (F.col("p.cf") == F.col("c.cf")) & (F.col("p.bucket") == F.col("c.bucket")), "left")
+    if buckets.exact:
+        return met.select(*names, F.col("c.seq").alias("cover"))
+    # the last step that begins at or before the key
+    found = "aggregate(c.jumps, 0, (i, jump) -> IF(i + jump <= size(c.steps) AND coalesce(get(c.steps, i + jump - 1).at <= p.key, true), i + jump, i))"
+    return met.select(*names, F.expr(f"get(c.steps, {found} - 1).seq").alias("cover"))
 
 
 def uncovered(points: DataFrame, tombs: DataFrame, buckets: Buckets | None = None) -> DataFrame:
